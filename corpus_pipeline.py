@@ -1,13 +1,25 @@
-"""The training-text pipeline: quality, near-duplicates, benchmark decontamination, secrets, tokens."""
+"""The training-text pipeline: each stage works on all that its predecessor kept.
+
+1. quality: documents that the classifier scores under its threshold go.
+2. near_duplicates: of each group of documents alike (80 per cent or more of
+   their five-word shingles), the one with the smallest id stays.
+3. decontamination: documents with a verified benchmark window go.
+4. secrets: what the forest takes for a secret is replaced by a mark.
+5. tokens: texts are encoded; ids, their number, digests of ids and decoded text are added.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtable.llm import decontam, neardup
+from loomtable.llm import bpe, decontam, neardup, quality, secretscan
 from loomtable.llm._shared import table, written
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.keep_one(docs, k=5, percent=80)
 
@@ -16,11 +28,24 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontam.remove(docs, table(spark, sf_dir, "benchmark"), mode="documents")
 
 
-STAGES = [("near_duplicates", deduplicate), ("decontamination", decontaminate)]
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secretscan.redacted(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path(bpe.VOCABULARY))
+
+
+STAGES = [("quality", keep_quality), ("near_duplicates", deduplicate), ("decontamination", decontaminate), ("secrets", redact), ("tokens", tokenize)]
+
+#: Neither the fitted models nor merges and links over components can be said in SQL; tests compare stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -4,15 +4,18 @@ Vectors are cut in two halves; a codebook of ``CODES`` centroids per half is
 fitted (k-means) on at most ``MAX_SAMPLE`` vectors, taken by smallest hash;
 every vector is then indexed by its pair of nearest centroids.  A query walks
 the pairs in order of summed distance with a heap until the pairs it has seen
-hold ``candidates`` vectors, and those are reranked by exact distance on the
-original vectors.
+hold ``candidates`` vectors and a ``share`` of all, and those are reranked by
+exact distance on the original vectors.  The share that a recall needs is a
+property of the vectors: near-isotropic ones, as the test tables hold, need
+0.4 for 0.9; vectors with real clusters do with ``share=0``.
 
 Of equal vectors only the k + 1 smallest ids can be among anybody's k nearest
 (ties go to smaller ids, a query leaves itself out), so only those are
 indexed: exact, and a vector that a third of all rows share costs nothing.
-Cells are dealt into blocks of ``BLOCK`` vectors and queries into blocks of
-``QUERY_BLOCK`` per cell; a pair of blocks is one row, so no task holds a whole
-cell and queries are never broadcast.  Cell sizes (CODES^2 numbers at most)
+The cells of one first-half centroid are dealt into blocks of ``BLOCK`` vectors,
+and the queries that visit some of them into blocks of ``QUERY_BLOCK``; a pair
+of blocks is one row, so no task holds a whole cell and queries are never
+broadcast.  Cell sizes (CODES^2 numbers at most)
 and codebooks are.
 
 Defined results: vectors that are null, empty, zero, or hold null or
@@ -35,10 +38,11 @@ from pyspark.sql import functions as F
 from loomtable.llm._shared import has, table, written
 
 K_NEAREST = 10
-CODES = 24
+CODES = 64
 MAX_SAMPLE = 10_000
-CANDIDATES = 6000
-BLOCK, QUERY_BLOCK = 512, 64
+CANDIDATES = 4000
+SHARE = 0.46
+BLOCK, QUERY_BLOCK = 1024, 64
 ITERATIONS = 12
 
 
@@ -95,7 +99,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", k: int = K_NEAREST, codes: int = CODES, candidates: int = CANDIDATES, max_sample: int = MAX_SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", k: int = K_NEAREST, codes: int = CODES, candidates: int = CANDIDATES, share: float = SHARE, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """Per query and rank: query_id, rank, vec_id, score (Euclidean distance)."""
     has(vectors, id_col, vector)
     has(queries, id_col, vector)
@@ -124,6 +128,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
     cells = written(indexed.mapInArrow(assign, "vec_id bigint, v array<double>, cell bigint"), "index")
     sizes = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}  # codes^2 rows at most
     held = spark.sparkContext.broadcast(sizes)
+    width = len(books.value[1])
+    enough = max(candidates, int(share * sum(sizes.values())))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = books.value
@@ -131,37 +137,56 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
             if batch.num_rows:
                 m = _matrix(batch.column("v"))
                 da, db = _nearest(m[:, :half], one)[1], _nearest(m[:, half:], two)[1]
-                lists = [walk(p, q, held.value, candidates) for p, q in zip(da, db, strict=True)]
-                at = np.repeat(np.arange(len(lists)), [len(c) for c in lists])
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array([c for cs in lists for c in cs], pa.int64())], names=["query_id", "q", "cell"])
-
-    routed = asked.mapInArrow(route, "query_id bigint, q array<double>, cell bigint")
-    many = spark.createDataFrame([(c, -(-n // BLOCK)) for c, n in sorted(sizes.items())], "cell bigint, blocks bigint")
-    blocks = cells.join(F.broadcast(many), "cell").groupBy("cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-    # A query block holds about QUERY_BLOCK queries of a cell, however many come.
-    wanted = routed.groupBy("cell").count().withColumn("parts", F.ceil(F.col("count") / QUERY_BLOCK)).select("cell", "parts")
-    asking = routed.join(F.broadcast(wanted), "cell").groupBy("cell", F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+                at, codes_, others = [], [], []
+                for i, (p, q) in enumerate(zip(da, db, strict=True)):
+                    by: dict[int, list[int]] = {}
+                    for cell in walk(p, q, held.value, enough):
+                        by.setdefault(cell // width, []).append(cell % width)
+                    at += [i] * len(by)
+                    codes_ += by.keys()
+                    others += by.values()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("vec_id").take(pa.array(at, pa.int64())), batch.column("v").take(pa.array(at, pa.int64())), pa.array(codes_, pa.int32()), pa.array(others, pa.list_(pa.int32()))],
+                    names=["query_id", "q", "code", "others"],
+                )
+
+    routed = asked.mapInArrow(route, "query_id bigint, q array<double>, code int, others array<int>")
+    many: dict[int, int] = {}
+    for c, n in sizes.items():
+        many[c // width] = many.get(c // width, 0) + n
+    blocks_of = F.create_map(*[F.lit(v) for c, n in sorted(many.items()) for v in (c, -(-n // BLOCK))])
+    code = F.floor(F.col("cell") / width).cast("int")
+    blocks = (
+        cells.select(code.alias("code"), F.pmod("cell", F.lit(width)).cast("int").alias("other"), "vec_id", "v")
+        .groupBy("code", F.pmod(F.xxhash64("vec_id"), blocks_of[F.col("code")]).alias("block")).agg(F.collect_list(F.struct("vec_id", "v", "other")).alias("rows"))
+    )
+    # A query block holds about QUERY_BLOCK queries, however many come: their number is counted.
+    parts = max(1, -(-asked.count() // QUERY_BLOCK))
+    asking = routed.groupBy("code", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("query_id", "q", "others")).alias("asked"))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got: list[list[np.ndarray]] = [[], [], []]
             for i in range(batch.num_rows):
                 a, r = batch.column("asked")[i].values, batch.column("rows")[i].values
-                qid, vid = a.field("query_id").to_numpy(), r.field("vec_id").to_numpy()
-                q, v = _matrix(a.field("q")), _matrix(r.field("v"))
-                for lo in range(0, len(q), 8):
-                    d = np.sqrt(((q[lo : lo + 8, None, :] - v[None, :, :]) ** 2).sum(-1))
-                    d[qid[lo : lo + 8, None] == vid[None, :]] = np.inf
-                    order = np.lexsort((np.broadcast_to(vid, d.shape), d), axis=1)[:, :k]
-                    score = np.take_along_axis(d, order, 1)
-                    fine = np.isfinite(score)
-                    got[0].append(np.repeat(qid[lo : lo + 8], order.shape[1]).reshape(order.shape)[fine])
-                    got[1].append(vid[order][fine])
-                    got[2].append(score[fine])
+                qid, vid, other = a.field("query_id").to_numpy(), r.field("vec_id").to_numpy(), r.field("other").to_numpy()
+                q, v, lists = _matrix(a.field("q")), _matrix(r.field("v")), a.field("others")
+                for j in range(len(q)):
+                    open_ = np.zeros(width, bool)
+                    open_[lists[j].values.to_numpy()] = True
+                    at = np.flatnonzero(open_[other] & (vid != qid[j]))
+                    d = np.sqrt(((q[j] - v[at]) ** 2).sum(1))
+                    if len(at) > 4 * k:  # all that tie with the k-th stay, for the smaller ids
+                        keep = d <= np.partition(d, k - 1)[k - 1]
+                        at, d = at[keep], d[keep]
+                    order = np.lexsort((vid[at], d))[:k]
+                    got[0].append(np.full(len(order), qid[j]))
+                    got[1].append(vid[at][order])
+                    got[2].append(d[order])
             cols = [np.concatenate(g) if g else np.zeros(0) for g in got]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(float))], names=["query_id", "vec_id", "score"])
 
-    near = asking.join(blocks, "cell").select("asked", "rows").mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
+    near = asking.join(blocks, "code").select("asked", "rows").mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
     best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

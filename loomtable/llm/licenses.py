@@ -14,7 +14,8 @@ join.  Votes are the only rows shuffled.
 
 Base phrases are templates that must match whole, on one diagonal; every place
 counts.  Other templates are license notices; a notice whose verified words
-cover at least ``COVER`` of it adds its label.
+cover at least ``COVER`` of it, the words that tell it from others among them,
+adds its label.
 
 Defined results: a null or empty text has no words, no labels and score 0.
 Rows are numbered before the shuffle, so repeated rows and ids stay apart.
@@ -41,31 +42,32 @@ NEAR = 3
 #: (label, phrase): must match whole.
 PHRASES = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
 
-#: (label, notice): public license notices.
+#: (label, words a match must hold, notice): public license notices.
 NOTICES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "released under the mit license"),
-    ("apache", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("reserved", "all rights reserved"),
+    ("mit", "free of", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "mit license", "released under the mit license"),
+    ("apache", "apache license", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
+    ("apache", "apache license", "licensed under the apache license version 2 0"),
+    ("gpl", "gnu general", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "gnu general", "this work is licensed under the gnu general public license version 3"),
+    ("lgpl", "lesser general", "licensed under the gnu lesser general public license"),
+    ("bsd", "binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("mpl", "mozilla public", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("cc-by", "creative commons", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("reserved", "rights reserved", "all rights reserved"),
 ]
 
 
-def templates() -> list[tuple[int, str, str, bool]]:
-    """(number, label, text, is a base phrase)."""
-    return [(i, label, text, i < len(PHRASES)) for i, (label, text) in enumerate([*PHRASES, *NOTICES])]
+def templates() -> list[tuple[int, str, str, bool, str]]:
+    """(number, label, text, is a base phrase, gram a match must hold)."""
+    every = [(label, " ".join(text.split()[:GRAM]), text) for label, text in PHRASES] + NOTICES
+    return [(i, label, text, i < len(PHRASES), must) for i, (label, must, text) in enumerate(every)]
 
 
 def template_grams() -> list[tuple[int, int, str, int]]:
     """(template, position, gram, hash)."""
     out = []
-    for i, _, text, _ in templates():
+    for i, _, text, *_ in templates():
         w = K.words_of([text])
         grams, at = w.grams(w.hashes(), GRAM)
         out += [(i, int(a), w.text(int(a), int(a) + GRAM).decode(), int(g)) for g, a in zip(grams.view(np.int64).tolist(), at.tolist(), strict=True)]
@@ -114,20 +116,25 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> Dat
     diagonal = hit.groupBy("number", "template", (F.col("at") - F.col("j")).alias("diagonal")).agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.min("j").alias("lo"), F.max("j").alias("hi"), F.collect_set("j").alias("grams")
     )
-    parts = _rows(spark, [(i, label, base, len(K.words_of([t]))) for i, label, t, base in templates()], "template, label, base, size")
+    parts = _rows(spark, [(i, label, base, len(t.split()), _place(t, must)) for i, label, t, base, must in templates()], "template, label, base, size, must")
     diagonal = diagonal.join(F.broadcast(parts), "template", "left")
     # Base phrases stand alone; of notices, neighbouring diagonals are one span.
     order = Window.partitionBy("number", "template").orderBy("diagonal")
     new = (F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR)).cast("int")
     merged = diagonal.withColumn("span", F.sum(F.coalesce(new, F.lit(0))).over(order))
     merged = merged.groupBy("number", "template", "span").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("size").alias("size"),
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("size").alias("size"), F.first("must").alias("must"),
         F.min(F.col("diagonal") + F.col("lo")).alias("first"), F.max(F.col("diagonal") + F.col("hi")).alias("last"), F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"),
     )
     words = F.size(F.array_distinct(F.flatten(F.transform("grams", lambda j: F.array(j, j + 1)))))
     cover = F.when(F.col("template").isNotNull(), words / F.col("size"))
     merged = merged.withColumn("cover", cover).withColumn("last", F.col("last") + GRAM - 1)
-    return merged.where("template IS NULL OR (base AND cover >= 1) OR NOT base").drop("grams", "span", "size")
+    return merged.where("template IS NULL OR (base AND cover >= 1) OR (NOT base AND array_contains(grams, must))").drop("grams", "span", "size", "must")
+
+
+def _place(text: str, gram: str) -> int:
+    words = text.split()
+    return next(i for i in range(len(words)) if " ".join(words[i : i + GRAM]) == gram)
 
 
 def _rows(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtable.llm import _kernel as K
-from loomtable.llm._shared import has, table, written
+from loomtable.llm._shared import has, packed, table, unpacked, written
 
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
@@ -341,16 +341,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **h
     Rows with an empty set are all kept.
     """
     has(docs, id_col, text)
-    spark = docs.sparkSession
-    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("bigint").alias("key"))
-    numbered = written(numbered.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    # The number is given on a table that is written once, so it means the same row in every later read.
+    numbered = written(packed(docs, text).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    key = F.col("row").getField(id_col).cast("bigint").alias("key")
     rows, classes = link_classes(numbered, id_col="number", text="text", **how)
-    named = rows.select("id", "digest").join(classes.select("digest", "comp"), "digest").join(numbered.select(F.col("number").alias("id"), "key"), "id")
+    named = rows.select("id", "digest").join(classes.select("digest", "comp"), "digest").join(numbered.select(F.col("number").alias("id"), key), "id")
     # min ignores nothing here: a null key sorts last.
     first = named.groupBy("comp").agg(F.min(F.struct(F.col("key").isNull(), "key", "id")).alias("best")).select(F.col("best.id").alias("id"), "comp")
     gone = named.join(first, "comp").where(named["id"] != first["id"]).select(named["id"].alias("number"))
-    kept = numbered.join(gone, "number", "left_anti")
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    gone = written(gone, "gone")
+    small = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return unpacked(numbered.join(small, "number", "left_anti"), docs.columns, text)
 
 
 def op7(spark, sf_dir):

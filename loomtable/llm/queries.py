@@ -28,4 +28,6 @@ def _lazy(module: str, function: str):
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from loomtable.llm.oracles import SQL
+
+    return dict(SQL)

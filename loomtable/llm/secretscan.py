@@ -1,7 +1,8 @@
 """Secret scan with a random forest against false positives, in SQL functions alone.
 
 A text is cut after white space and delimiters; pieces of ten or more key
-characters with a digit are candidates.  Each gets numbers for its length,
+characters with a digit, or the beginning of a public service's keys, are
+candidates.  Each gets numbers for its length,
 character classes and transitions, entropy, dictionary coverage, path signs and
 neighbouring words.  A random forest, trained from labelled findings, decides.
 Its trees become one CASE expression, so scan, scoring and redaction are a
@@ -35,8 +36,12 @@ MARK = "[SECRET]"
 
 #: Cut after each of these.
 _CUT = r"""(?<=[\\s=:"'(\\[{<>,;|)\\]}&])"""
-_TAIL = r"""[\\s=:"'(\\[{<>,;|)\\]}&.!?]*$"""
-_TOKEN = r"""^[A-Za-z0-9_+/.-]{10,}[\\s=:"'(\\[{<>,;|)\\]}&!?]*$"""
+#: A candidate piece: key characters between characters that are none.
+_TOKEN = r"""^[^A-Za-z0-9]*[A-Za-z0-9_+/.-]{10,}[^A-Za-z0-9]*$"""
+_KEY = r"""[A-Za-z0-9][A-Za-z0-9_+/.-]{8,}[A-Za-z0-9]"""
+
+#: How keys of public services begin.
+_PREFIX = "(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|rk_live_|sk-|xox[abprs]-|AIza|eyJ|SG[.])"
 
 #: Common words of four languages, for dictionary coverage.
 WORDS = (
@@ -64,7 +69,7 @@ FEATURES = {
     "path": "CAST(t RLIKE '/.*/|^/|[.][a-z]{1,4}$' OR c RLIKE '(://|[.]{1,2}/|[A-Za-z0-9]/)[^ ]*$|https?:$' AS DOUBLE)",
     "dots": "regexp_count(t, '[.]') / length(t)",
     "uuid": "CAST(t RLIKE '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-' AS DOUBLE)",
-    "prefix": "CAST(t RLIKE '^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|rk_live_|sk-|xox[abprs]-|AIza|eyJ|SG[.])' AS DOUBLE)",
+    "prefix": f"CAST(t RLIKE '^{_PREFIX}' AS DOUBLE)",
     "asks": "CAST(lower(c) RLIKE '(secret|token|passw|passwd|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)[a-z_]*[^a-z0-9]{0,6}$' AS DOUBLE)",
     "asks_near": "CAST(lower(c) RLIKE '(secret|token|passw|passwd|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)' AS DOUBLE)",
     "benign": "CAST(lower(concat(c, ' ', f)) RLIKE '(sha-?[0-9]|md5|commit|checksum|digest|hash|uuid|guid|revision|version|order|invoice|phone|isbn|serial|build|image|example|placeholder|dummy|sample)' AS DOUBLE)",
@@ -128,7 +133,7 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[dict]:
     while len(out) < n:
         label = len(out) % 2
         context, piece = secret() if label else other()
-        if len(piece) >= 10 and any(x.isdigit() for x in piece):
+        if len(piece) >= 10:
             out.append({"context": context[-60:], "piece": piece, "follow": prose(2), "label": label})
     return out
 
@@ -199,9 +204,9 @@ def findings(docs: DataFrame, *, text: str = "text", model: str | None = None, t
     """``row``, ``text``, ``pieces``, ``candidates`` (at, score) and ``found`` (piece numbers from 1 that are secrets)."""
     model = model or train(docs.sparkSession)
     df = packed(docs, text).withColumn("pieces", F.expr(f"split(text, '{_sql(_CUT)}', -1)"))
-    picked = f"""filter(transform(pieces, (p, i) -> if(length(p) >= 10 AND p RLIKE '{_sql(_TOKEN)}' AND p RLIKE '[0-9]', i + 1, 0)), i -> i > 0)"""
+    picked = f"filter(transform(pieces, (p, i) -> if(length(p) >= 10 AND p RLIKE '[0-9]|{_PREFIX}' AND p RLIKE '{_TOKEN}' AND p RLIKE '{_KEY}', i + 1, 0)), i -> i > 0)"
     df = df.withColumn("at", F.expr(picked))
-    t = f"regexp_replace(element_at(pieces, i), '{_sql(_TAIL)}', '')"
+    t = f"regexp_extract(element_at(pieces, i), '{_KEY}', 0)"
     c = "array_join(slice(pieces, greatest(i - 6, 1), least(6, i - 1)), '')"
     f = "array_join(slice(pieces, i + 1, 3), '')"
     scored = f"transform(at, i -> named_struct('at', i, 'x', {_features_sql(t, c, f)}))"
@@ -215,7 +220,7 @@ def _sql(pattern: str) -> str:
 
 
 def _redacted() -> F.Column:
-    cleaned = f"array_join(transform(pieces, (p, i) -> if(array_contains(found, i + 1), concat('{MARK}', regexp_extract(p, '{_sql(_TAIL)}', 0)), p)), '')"
+    cleaned = f"array_join(transform(pieces, (p, i) -> if(array_contains(found, i + 1), regexp_replace(p, '{_KEY}', '{MARK}'), p)), '')"
     return F.expr(f"CASE WHEN size(found) > 0 THEN {cleaned} ELSE text END")
 
 
@@ -233,7 +238,7 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", model
     return df.select(
         F.col("row.id").alias("doc_id"), count("candidates").alias("n_candidates"), count("found").alias("n_secrets"),
         F.expr("array_max(transform(candidates, s -> s.score))").alias("max_score"),
-        F.expr("coalesce(array_join(transform(found, i -> length(array_join(slice(pieces, 1, i - 1), ''))), ','), '')").alias("secrets_at"),
+        F.expr(f"coalesce(array_join(transform(found, i -> length(array_join(slice(pieces, 1, i - 1), '')) + regexp_instr(element_at(pieces, i), '{_KEY}') - 1), ','), '')").alias("secrets_at"),
         F.sha2(F.coalesce(_redacted(), F.lit("")), 256).alias("redacted_sha256"),
     )
 
