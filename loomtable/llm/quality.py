@@ -119,6 +119,22 @@ def _tree(g: np.ndarray, h: np.ndarray, leaves: int) -> np.ndarray:
     return out
 
 
+def _tree_of_pair(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A tree of depth two on a grid: the cut of the first axis that, with a cut of the second on either side, explains most."""
+    cg, ch = (np.concatenate([np.zeros((1, v.shape[1])), np.cumsum(v, 0)]) for v in (g, h))
+    best, step = -1.0, np.zeros_like(g)
+    for at in range(1, max(2, len(g))):
+        out, explained = np.empty_like(g), 0.0
+        for lo, hi in ((0, at), (at, len(g))):
+            if lo < hi:
+                gs, hs = cg[hi] - cg[lo], ch[hi] - ch[lo] + 2.0
+                out[lo:hi] = leaf = _tree(gs, hs, 2)
+                explained += float((leaf * gs).sum())
+        if explained > best:
+            best, step = explained, out
+    return step
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> dict:
     """The model as plain arrays: cut points, one table per feature, pair tables, intercept."""
     if not len(y) or y.min() == y.max():
@@ -154,14 +170,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict:
             q = sigmoid(f)
             cell = grid[i] * t.shape[1] + grid[j]
             g, h = (np.bincount(cell, v, t.size).reshape(t.shape) for v in (y - q, q * (1 - q)))
-            # A tree of depth two: a cut of the first feature, then one of the second on either side.
-            cg, ch = g.sum(1), h.sum(1)
-            left = _tree(cg, ch, 2)
-            at = int(np.argmax(left != left[0])) if (left != left[0]).any() else len(left)
-            step = np.empty_like(t)
-            for lo, hi in ((0, at), (at, len(left))):
-                if lo < hi:
-                    step[lo:hi] = _tree(g[lo:hi].sum(0), h[lo:hi].sum(0) + 2.0, 2)
+            step = _tree_of_pair(g, h)
             step *= RATE
             t += step
             f += step[grid[i], grid[j]]
