@@ -123,6 +123,8 @@ def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
 
 def complete_linkage(n: int, pairs: list[tuple[int, int, float]]) -> list[int]:
     """Clusters of 0..n-1 by complete linkage on distance 1 - score, cut at 1: two clusters merge only while every pair of theirs has a score; best first, ties by index."""
+    if n == 0:
+        return []
     score = np.zeros((n, n))
     for a, b, s in pairs:
         score[a, b] = score[b, a] = max(score[a, b], s)
@@ -133,7 +135,7 @@ def complete_linkage(n: int, pairs: list[tuple[int, int, float]]) -> list[int]:
         open_ = np.where(live[:, None] & live[None, :], score, 0)
         at = int(np.argmax(open_))
         a, b = divmod(at, n)
-        if n == 0 or open_[a, b] <= 0:
+        if open_[a, b] <= 0:
             return label
         a, b = min(a, b), max(a, b)
         score[a] = score[:, a] = np.minimum(score[a], score[b])
