@@ -53,3 +53,26 @@ def split_parts(cells: DataFrame, by: list[str], least: float = 0.5) -> DataFram
     pieces = F.regexp_extract_all("text", F.lit(atom), F.lit(0))
     kinds = F.filter(F.split("pattern", ""), lambda c: c.isin("D", "N", "W"))
     return df.select(*cells.columns, F.posexplode(F.arrays_zip(pieces.alias("piece"), kinds.alias("kind"))).alias("part", "p")).select(*cells.columns, "part", "p.kind", "p.piece")
+
+
+def template_parts(cells: DataFrame, by: list[str], least: int = 1, most: int = 8) -> DataFrame:
+    """Columns whose cells all share some words or marks, split at them: the texts between are the parts (part, piece).
+
+    What is common is counted, not aligned: a token (a word or a mark) of every
+    cell of the column is constant.  Columns without one, or with fewer than
+    ``least`` or more than ``most`` parts, are left out.
+    """
+    token = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
+    one = cells.select(*by, "text").distinct()
+    n = one.groupBy(*by).agg(F.count("*").alias("n"))
+    each = one.select(*by, "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(token), F.lit(0)))).alias("token"))
+    fixed = each.groupBy(*by, "token").agg(F.count("*").alias("c")).join(n, by).filter("c = n AND n > 1")
+    fixed = fixed.groupBy(*by).agg(F.collect_set("token").alias("fixed"))
+    df = cells.join(fixed, by)
+    # Every token of the cell in order; constants end a part.
+    marks = F.regexp_extract_all("text", F.lit(token), F.lit(0))
+    cut = F.aggregate(marks, F.array(F.lit("")), lambda s, t: F.when(F.array_contains("fixed", t), F.concat(s, F.array(F.lit("")))).otherwise(
+        F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.trim(F.concat_ws(" ", F.element_at(s, -1), t))))
+    ))
+    parts = df.withColumn("pieces", F.filter(cut, lambda p: p != "")).filter(F.size("pieces").between(least, most)).drop("fixed")
+    return parts.select(*cells.columns, F.posexplode("pieces").alias("part", "piece"))

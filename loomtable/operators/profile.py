@@ -125,3 +125,14 @@ def decompose(df: DataFrame, det: list[str], dep: list[str]) -> tuple[DataFrame,
     for c in det:
         full = full.filter(F.col(c).isNotNull())
     return full.distinct(), df.drop(*dep)
+
+
+def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The n commonest values with their counts (ties to the smaller value)."""
+    return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)
+
+
+def log_binned_mean(df: DataFrame, rank: str, value: str) -> DataFrame:
+    """Mean of a value in bins of a rank that grow tenfold: bin (1, 10, 100, ...), n, mean."""
+    bin_ = F.pow(F.lit(10), F.floor(F.log10(rank))).cast("bigint").alias("bin")
+    return df.filter(F.col(rank) >= 1).groupBy(bin_).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))

@@ -348,6 +348,27 @@ def fk_surrogate_decompose(spark, sf):
     return profile.surrogates(rows, "p_type", "type_key")[0].select("l_orderkey", "l_linenumber", "type_key")
 
 
+@_query("SELECT p_type, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_values(spark, sf):
+    return profile.top_values(_t(spark, sf, "part"), "p_type", 10)
+
+
+@_query("WITH u AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, l_partkey) AS k FROM u) SELECT CAST(pow(10, floor(log10(k))) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n, round(avg(n), 6) AS mean FROM r GROUP BY 1")
+def log_binned_frequency(spark, sf):
+    used = _t(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    ranked = C.offsets(used.withColumn("down", -F.col("n")), F.lit(1), ["down", "l_partkey"], "before").withColumn("k", F.col("before") + 1)
+    return profile.log_binned_mean(ranked, "k", "n").select("bin", "n", F.round("mean", 6).alias("mean"))
+
+
+@_query("SELECT DISTINCT r_name AS start, n_name AS node, 2 AS steps FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'World', r_name, 1 FROM region UNION ALL SELECT 'World', n_name, 2 FROM nation")
+def category_descent(spark, sf):
+    r, n = _t(spark, sf, "region"), _t(spark, sf, "nation")
+    top = r.select(F.lit("World").alias("src"), F.col("r_name").alias("dst"))
+    below = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("src"), F.col("n_name").alias("dst"))
+    down = cluster.closure(top.union(below), 3)
+    return down.select("start", "node", F.when(F.col("start") == "World", F.col("steps")).otherwise(F.lit(2)).alias("steps"))
+
+
 # --- similarity and clustering -------------------------------------------------
 
 _WORDS = r"regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')"

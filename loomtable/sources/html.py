@@ -153,8 +153,21 @@ def split_on_subheaders(rows: list[list[Node | None]]) -> list[tuple[list, list]
     return [t for t in out if t[1]]
 
 
-def page_tables(html: str, restrict: list[str] | None = None) -> tuple[str, list[dict]]:
-    """Page title and tables: head and body (rows of text), links of body cells, caption.  ``restrict``: classes of which a table must have one; none: all tables."""
+def split_on_repeats(head: list, body: list[list[Node | None]]) -> list[tuple[list, list]]:
+    """Tables of careers: a body row whose first three cells are one spanning cell with text, or repeat one text, begins a new part that keeps the head; the row itself is dropped."""
+    text = lambda c: text_and_links(c)[0] if c is not None else ""
+    parts: list[list] = [[]]
+    for row in body:
+        first = [text(c) for c in row[:3]]
+        if len(row) > 3 and first[0] and len(set(first)) == 1:
+            parts.append([])
+        else:
+            parts[-1].append(row)
+    return [(head, p) for p in parts if p]
+
+
+def page_tables(html: str, restrict: list[str] | None = None, careers: bool = False) -> tuple[str, list[dict]]:
+    """Page title and tables: head and body (rows of text), links of body cells, caption.  ``restrict``: classes of which a table must have one; none: all tables.  ``careers``: split tables of careers too."""
     root = tree(html)
     if not any(n.tag == "html" for n in root.walk()):
         return "", []
@@ -166,7 +179,10 @@ def page_tables(html: str, restrict: list[str] | None = None) -> tuple[str, list
         if node.tag != "table" or restrict and not set(restrict) & set(node.attrs.get("class", "").split()):
             continue
         caption = next((text_and_links(n)[0] for n in node.walk(frozenset({"table"})) if n.tag == "caption"), node.attrs.get("summary", ""))
-        for head, body in split_on_subheaders(grid(node)):
+        parts = split_on_subheaders(grid(node))
+        if careers:
+            parts = [p for head, body in parts for p in split_on_repeats(head, body)]
+        for head, body in parts:
             cell = lambda c: text_and_links(c) if c is not None else ("", [])
             h, b = ([[cell(c) for c in row] for row in rows] for rows in (head, body))
             if not any(t for row in h + b for t, _ in row):
@@ -182,14 +198,14 @@ TABLES = (
 )
 
 
-def tables(pages: DataFrame, restrict: list[str] | None = None) -> DataFrame:
+def tables(pages: DataFrame, restrict: list[str] | None = None, careers: bool = False) -> DataFrame:
     """Tables of pages (url, html); ids are ``url#n``.  Pages that are not HTML, and null ones, have none."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                title, found = page_tables(html or "", restrict)
+                title, found = page_tables(html or "", restrict, careers)
                 for n, t in enumerate(found):
                     width = max(len(r) for r in t["body"])
                     links = [{"ri": r, "ci": c, "start": s, "end": e, "href": u} for r, c, s, e, u in t["links"]]

@@ -148,6 +148,17 @@ def test_affixes_and_parts(spark):
     assert rows(compound.split_parts(cells.filter("ci = 1"), ["table_id", "ci"]).select("ri", "kind", "piece")) == [(0, "N", "12"), (0, "W", "Bob"), (1, "N", "7"), (1, "W", "Al"), (2, "N", "9"), (2, "W", "Cy")]
 
 
+def test_template_parts(spark):
+    cells = body(spark, ("t", [["Rank: 1 (of 9)", "x"], ["Rank: 22 (of 31)", "y"]]))
+    got = compound.template_parts(cells, ["table_id", "ci"])
+    assert rows(got.select("ri", "part", "piece")) == [(0, 0, "1"), (0, 1, "9"), (1, 0, "22"), (1, 1, "31")]
+
+
+def test_career_tables():
+    page = "<html><table><tr><th>A</th><th>B</th><th>C</th><th>D</th></tr><tr><td>1</td><td>2</td><td>3</td><td>4</td></tr><tr><td colspan=3>Club</td><td>x</td></tr><tr><td>5</td><td>6</td><td>7</td><td>8</td></tr></table></html>"
+    assert [t["body"] for t in H.page_tables(page, careers=True)[1]] == [[["1", "2", "3", "4"]], [["5", "6", "7", "8"]]]
+
+
 # --- similarity, clustering ---------------------------------------------------------------
 
 
