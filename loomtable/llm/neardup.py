@@ -46,14 +46,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtable.llm import _kernel as K
-from loomtable.llm._shared import has, packed, table, unpacked, written
+from loomtable.llm._shared import batches_of, has, packed, table, unpacked, written
 
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 MARGIN = 5.0
 #: Members, and shingles, of a block: what one task holds twice of a bucket that is compared in full.
-BLOCK, BLOCK_SHINGLES = 128, 100_000
+BLOCK, BLOCK_SHINGLES = 128, 60_000
 #: A list of wanted ids is sent to all executors up to this length (16 MB); beyond, a shuffle join does the same.
 BROADCAST_IDS = 2_000_000
 
@@ -283,7 +283,8 @@ def _joins(percent: int):
 def link_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, split: str = "alnum") -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows have id, n_shingles, digest; classes have node, digest, id (smallest) and comp (a node)."""
     how = {"id_col": id_col, "text": text, "k": k, "split": split, "percent": percent}
-    rows = written(sketch(docs, id_col, text, k, split), "sketch")
+    with batches_of(docs.sparkSession, 1000):
+        rows = written(sketch(docs, id_col, text, k, split), "sketch")
     classes = (
         rows.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     )
@@ -312,7 +313,8 @@ def link_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     block = written(block, "open-blocks")
     x, y = block.alias("x"), block.alias("y")
     met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") <= F.col("y.block"))).select(F.col("x.members").alias("ma"), F.col("y.members").alias("mb"))
-    extra = written(met.mapInArrow(_joins(percent), "a bigint, b bigint").distinct(), "open-links")
+    with batches_of(docs.sparkSession, 16):
+        extra = written(met.mapInArrow(_joins(percent), "a bigint, b bigint").distinct(), "open-links")
     if extra.isEmpty():
         final = comp
     else:
