@@ -1,8 +1,10 @@
 """Secret scan with a random forest against false positives, in SQL functions alone.
 
-A text is cut after white space and delimiters; pieces of ten or more key
-characters with a digit, or the beginning of a public service's keys, are
-candidates.  Each gets numbers for its length,
+Candidates are all runs of ten or more key characters, whatever they are joined
+to, and all values after a password or secret word or in the user part of a URL,
+of any length and with any characters.  Only the forest rejects.  A value and a
+run within it are both scored; the value counts if both are found.
+Each candidate gets numbers for its length,
 character classes and transitions, entropy, dictionary coverage, path signs and
 neighbouring words.  A random forest, trained from labelled findings, decides.
 Its trees become one CASE expression, so scan, scoring and redaction are a
@@ -34,15 +36,31 @@ TREES, DEPTH, LEAST_LEAF = 24, 6, 5
 THRESHOLD = 0.5
 MARK = "[SECRET]"
 
-#: Cut after each of these.
-_CUT = r"""(?<=[\\s=:"'(\\[{<>,;|)\\]}&])"""
-#: A candidate piece: key characters between characters that are none.
-_TOKEN = r"""^[^A-Za-z0-9]*[A-Za-z0-9_+/.-]{10,}[^A-Za-z0-9]*$"""
+#: Keys of public services that are told from what stands before them, even a key character.
+_SHAPE = "(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pos]_[A-Za-z0-9]{20}|github_pat_[A-Za-z0-9]{10}|glpat-[A-Za-z0-9_-]{16}|[sr]k_live_[A-Za-z0-9]{10}|xox[abprs]-[A-Za-z0-9]{8}|AIza[A-Za-z0-9_-]{30}"
+#: Cut after each delimiter, before each long run of key characters and after a percent escape: a piece has one run of ten or more at most.
+_CUT = (
+    r"""(?:(?<=[\\s=:"'(\\[{<>,;|)\\]}&])|(?<=[^A-Za-z0-9_+/.-])(?=[A-Za-z0-9_+/.-]{10})|(?<=%[0-9A-Fa-f]{2})(?=[A-Za-z0-9_+/.-]{10})"""
+    rf"""|(?<=[_+/.-]|\\\\[nrt])(?={_SHAPE}))(?!\\z)"""
+)
 _KEY = r"""[A-Za-z0-9][A-Za-z0-9_+/.-]{8,}[A-Za-z0-9]"""
 
 #: How keys of public services begin.
 _PREFIX = "(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|rk_live_|sk-|xox[abprs]-|AIza|eyJ|SG[.])"
 
+#: Words that ask for a secret.
+_PASS = "passw|passphrase|passcode|pwd|[_-]pass(?![a-z])"
+_ASKS = f"{_PASS}|secret|token|api.?key|access.?key|private.?key|auth(?!or(?!i[sz]))|bearer|credential"
+#: A value and what asks for it (group 1): a word with a sign or blanks after it, or the user part of a URL.  Values in quotes end with these, others before white space.
+_NAME = rf"""(?:{_ASKS})[a-z0-9_-]*["'`\\])]{{0,2}}[ \\t]*"""
+_SIGN = r"""(?:=>|[:=]=?|>)"""
+_END = r"""[.,;:&|)\\]}>']{0,3}(?:[\\s"`]|$|</|'[^A-Za-z0-9]|[,;&|][A-Za-z_][A-Za-z0-9_.-]*=)"""
+_VALUE = (
+    rf"""(?i)(?=[pstabc_:-])(?:((?:{_NAME}{_SIGN}[ \\t]*(?:(?:bearer|basic|token)[ \\t]+)?|(?:{_ASKS})(?:ord|wd|d|s|ization)*(?:[ \\t]+is)?[ \\t]+)["'`]?)(?![({{\\[]{{0,2}}{_NAME}[:=])"""
+    rf"""(?:(?<=")(?!")[^\\n]+?(?<!\\\\)(?=")|(?<=')(?!')[^\\n]+?(?<!\\\\)(?=')|(?<=`)(?!`)[^\\n]+?(?=`)|(?!['<])[^\\s"`]+?(?={_END}))"""
+    r"""|(://[^\\s/:@"'<>]*:)[^\\s/"'<>]+(?=@))"""
+)
+
 #: Common words of four languages, for dictionary coverage.
 WORDS = (
     "the and that with for this from have not are was but they which one all there were when your can said use each she how their will other about out many then them these some her would make like "
@@ -70,14 +88,24 @@ FEATURES = {
     "dots": "regexp_count(t, '[.]') / length(t)",
     "uuid": "CAST(t RLIKE '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-' AS DOUBLE)",
     "prefix": f"CAST(t RLIKE '^{_PREFIX}' AS DOUBLE)",
-    "asks": "CAST(lower(c) RLIKE '(secret|token|passw|passwd|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)[a-z_]*[^a-z0-9]{0,6}$' AS DOUBLE)",
-    "asks_near": "CAST(lower(c) RLIKE '(secret|token|passw|passwd|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)' AS DOUBLE)",
+    "asks": f"CAST(lower(c) RLIKE '({_ASKS})[a-z_]*[^a-z0-9]{{0,6}}$' AS DOUBLE)",
+    "asks_near": f"CAST(lower(c) RLIKE '({_ASKS})' AS DOUBLE)",
+    "asks_pass": f"CAST(lower(c) RLIKE '({_PASS})[a-z_]*[^a-z0-9]{{0,6}}$' AS DOUBLE)",
+    "user_part": "CAST(c RLIKE '://[^\\\\s/:@]*:$' AND f LIKE '@%' AS DOUBLE)",
+    "others": "regexp_count(t, '[^A-Za-z0-9_+/.-]') / length(t)",
+    "blanks": "CAST(regexp_count(t, '\\\\s') AS DOUBLE)",
+    "code": "CAST(t RLIKE '^[$%@]?[{(<\\\\[]|[(]|^[$][A-Za-z_]+$|^[A-Za-z_]+([.][A-Za-z_]+)+|^[*.x]+$' AS DOUBLE)",
+    "stock": "CAST(lower(t) RLIKE '(passw|secret|token|key|redact|hidden|masked|todo)|^(none|null|nil|true|false|undefined|string|str|text|bytes|int|required|optional|invalid|missing|expired|empty|value|default|user|admin|root|pass)$' AS DOUBLE)",
     "benign": "CAST(lower(concat(c, ' ', f)) RLIKE '(sha-?[0-9]|md5|commit|checksum|digest|hash|uuid|guid|revision|version|order|invoice|phone|isbn|serial|build|image|example|placeholder|dummy|sample)' AS DOUBLE)",
     "filler": "CAST(lower(t) RLIKE '(example|your|change|xxxx|1234|abcd|dummy|sample|test|placeholder|0000)' AS DOUBLE)",
     "set": "CAST(c RLIKE '[=:]\\\\s*[\"\\']?$' AS DOUBLE)",
 }
 
 
+#: How the contexts of values end in the default training set.
+_ASKING = ("password", "passwd", "pwd", "passphrase", "pass_phrase", "db_pass", "token", "tokens", "secret", "secrets", "credentials", "bearer", "key", "apikey")
+
+
 def labelled_findings(n: int = 4000, seed: int = 7) -> list[dict]:
     """The default training set: n findings, half of them secrets."""
     r = random.Random(seed)
@@ -89,8 +117,27 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[dict]:
     key = lambda: r.choice(["password", "passwd", "token", "secret", "api_key", "apikey", "access_key", "auth_token", "client_secret", "db_password", "pwd", "API_TOKEN"])
     sets = lambda: r.choice(["=", " = ", ": ", "=\"", " = \"", ": \"", " = '", "\": \""])
 
+    marks = "!@#$%^&*?~+=-_.,:;|"
+    ask = lambda: r.choice(["password", "passwd", "pwd", "PASSWORD", "db_password", "Password", "passphrase", "pass_phrase", "DB_PASS", "userPassword"])
+    link = lambda: prose(2) + r.choice(["postgres", "mysql", "https", "amqp", "redis", "ftp", "mongodb"]) + "://" + r.choice(["admin", "root", word(), "user", ""]) + ":"
+
+    def phrase() -> str:
+        """What people take as a password: words, words with numbers and marks, or no order at all."""
+        kind = r.randrange(4)
+        if kind == 0:
+            return (word() + word() + word() + word())[: r.randint(8, 24)]
+        if kind == 1:
+            return word().capitalize() + r.choice(["", *marks]) + str(r.randint(1, 9999)) + r.choice(["", *marks])
+        if kind == 2:
+            return r.choice([" ", "-", "."]).join(word() for _ in range(r.randint(2, 4)))
+        return some(alnum + marks, r.randint(6, 24))
+
     def secret() -> tuple[str, str]:
-        kind = r.randrange(9)
+        kind = r.randrange(13)
+        if kind >= 11:
+            return link(), r.choice([phrase().replace(" ", ""), some(alnum, r.randint(6, 24)), some(alnum + "!$%*", r.randint(8, 20))])
+        if kind >= 9:
+            return prose() + ask() + sets(), phrase()
         if kind <= 1:
             return prose(), "AKIA" + some(b32 if r.random() < 0.5 else b32 + "0189", 16)
         if kind == 2:
@@ -102,7 +149,19 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[dict]:
         return prose() + r.choice(["Authorization: Bearer ", "bearer ", "auth: "]), "eyJ" + some(alnum, r.randint(30, 80)) + "." + some(alnum, r.randint(30, 80))
 
     def other() -> tuple[str, str]:
-        kind = r.randrange(13)
+        kind = r.randrange(19)
+        if kind == 13:
+            return prose(), r.choice(["", "-", "_", "."]).join(word() for _ in range(r.randint(2, 5)))
+        if kind == 14:
+            return prose() + r.choice([key(), ask()]) + sets(), r.choice(["none", "null", "true", "false", "undefined", "string", "str", "required", "optional", "password", "your_password", "secret", "token", "hidden", "********", "xxxxxx", "[REDACTED]", "example", "changeme", "invalid", "expired", "default"])
+        if kind == 15:
+            return prose() + r.choice([key(), ask()]) + sets(), r.choice(["${%s}", "$%s", "{{ %s }}", "<%s>", "os.environ[%s]", "get_%s()", "self.%s", "request.%s", "config.%s.value", "%s(user)", "process.env.%s"]) % r.choice([key(), ask(), word()])
+        if kind == 16:
+            return prose() + r.choice(["the ", "a ", ""]) + r.choice(["password ", "secret ", "token ", "tokens ", "credentials ", "secrets ", "bearer "]), r.choice(["must", "is", "for", "of", "and", "to", "field", word(), word(), r.choice(WORDS), word() + word()])
+        if kind == 17:
+            return prose() + r.choice([key(), ask()]) + sets(), prose(r.randint(5, 14)).strip() + r.choice(["", ".", "!"])
+        if kind == 18:
+            return link(), r.choice(["password", "pass", "${PASSWORD}", "$PASSWORD", "<password>", "secret", "your_password", "xxxx", "****", "8080", "5432"])
         if kind == 0:
             return prose() + r.choice(["commit ", "sha256:", "md5 ", "checksum: ", "sha1=", "digest ", "revision ", "hash: "]), some(hexa, r.choice([32, 40, 64]))
         if kind == 1:
@@ -133,8 +192,9 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[dict]:
     while len(out) < n:
         label = len(out) % 2
         context, piece = secret() if label else other()
-        if len(piece) >= 10:
-            out.append({"context": context[-60:], "piece": piece, "follow": prose(2), "label": label})
+        user = context.endswith(":") and "://" in context and not piece.startswith("//")
+        if len(piece) >= 10 or user or context.rstrip(" =:\"'").lower().endswith(_ASKING):
+            out.append({"context": context[-60:], "piece": piece, "follow": "@" * user + prose(2), "label": label})
     return out
 
 
@@ -201,17 +261,27 @@ def train(spark: SparkSession, findings: DataFrame | None = None) -> str:
 
 
 def findings(docs: DataFrame, *, text: str = "text", model: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``row``, ``text``, ``pieces``, ``candidates`` (at, score) and ``found`` (piece numbers from 1 that are secrets)."""
+    """``row``, ``text``, ``pieces``, ``candidates`` (at, n, score) and ``found``, those that are secrets: the value of n pieces from number ``at`` (from 1), or the run within piece ``at`` if n is 0."""
     model = model or train(docs.sparkSession)
-    df = packed(docs, text).withColumn("pieces", F.expr(f"split(text, '{_sql(_CUT)}', -1)"))
-    picked = f"filter(transform(pieces, (p, i) -> if(length(p) >= 10 AND p RLIKE '[0-9]|{_PREFIX}' AND p RLIKE '{_TOKEN}' AND p RLIKE '{_KEY}', i + 1, 0)), i -> i > 0)"
-    df = df.withColumn("at", F.expr(picked))
-    t = f"regexp_extract(element_at(pieces, i), '{_KEY}', 0)"
-    c = "array_join(slice(pieces, greatest(i - 6, 1), least(6, i - 1)), '')"
-    f = "array_join(slice(pieces, i + 1, 3), '')"
-    scored = f"transform(at, i -> named_struct('at', i, 'x', {_features_sql(t, c, f)}))"
-    df = df.withColumn("seen", F.expr(scored)).withColumn("candidates", F.expr(f"transform(seen, s -> named_struct('at', s.at, 'score', element_at(transform(array(s.x), x -> {model}), 1)))"))
-    return df.withColumn("found", F.expr(f"transform(filter(candidates, s -> s.score >= {threshold}), s -> s.at)"))
+    v = f"'{_sql(_VALUE)}'"
+    df = packed(docs, text).withColumn("asked", F.expr(f"regexp_extract_all(text, {v}, 0)"))
+    df = df.withColumn("between", F.expr(f"if(size(asked) > 0, split(text, {v}, -1), array(text))"))
+    df = df.withColumn("heads", F.expr(f"if(size(asked) > 0, zip_with(regexp_extract_all(text, {v}, 1), regexp_extract_all(text, {v}, 2), (a, b) -> concat(a, b)), asked)"))
+    cut = lambda t: f"split({t}, '{_sql(_CUT)}', -1)"
+    # By turns what leads to a value and the value, each in pieces.  No struct fields of arrays here: Spark would inline them into the lambdas below and build them anew for each candidate.
+    parted = f"flatten(transform(between, (g, i) -> if(i < size(asked), array({cut('concat(g, heads[i])')}, {cut('substring(asked[i], length(heads[i]) + 1)')}), array({cut('g')}))))"
+    df = df.withColumn("parts", F.expr(f"if(text IS NULL, NULL, {parted})")).withColumn("pieces", F.expr("flatten(parts)"))
+    df = df.withColumn("spans", F.expr("flatten(transform(parts, (q, j) -> if(j % 2 = 1, transform(q, (x, k) -> if(k = 0, size(q), 0)), array_repeat(0, size(q)))))"))
+    df = df.withColumn("at", F.expr(f"filter(transform(zip_with(pieces, spans, (p, n) -> n > 0 OR length(p) >= 10 AND p RLIKE '{_KEY}'), (b, i) -> if(b, i + 1, 0)), i -> i > 0)"))
+    whole = "named_struct('at', i, 'n', spans[i - 1], 't', if(spans[i - 1] > 0, array_join(slice(pieces, i, spans[i - 1]), ''), ''))"
+    run = f"named_struct('at', i, 'n', 0, 't', if(length(pieces[i - 1]) >= 10, regexp_extract(pieces[i - 1], '{_KEY}', 0), ''))"
+    df = df.withColumn("seen", F.expr(f"flatten(transform(at, i -> filter(array({whole}, {run}), s -> s.t <> '' AND NOT (s.n = 0 AND spans[i - 1] = 1 AND s.t = pieces[i - 1]))))"))
+    c = "array_join(slice(pieces, greatest(s.at - 6, 1), least(6, s.at - 1)), '')"
+    f = "array_join(slice(pieces, s.at + greatest(s.n, 1), 3), '')"
+    df = df.withColumn("known", F.expr(f"transform(seen, s -> named_struct('at', s.at, 'n', s.n, 'x', {_features_sql('s.t', c, f)}))"))
+    df = df.withColumn("candidates", F.expr(f"transform(known, s -> named_struct('at', s.at, 'n', s.n, 'score', element_at(transform(array(s.x), x -> {model}), 1)))"))
+    df = df.withColumn("hits", F.expr(f"filter(candidates, s -> s.score >= {threshold})")).withColumn("wide", F.expr("filter(hits, s -> s.n > 0)"))
+    return df.withColumn("found", F.expr("filter(hits, s -> s.n > 0 OR NOT exists(wide, w -> s.at >= w.at AND s.at < w.at + w.n))"))
 
 
 def _sql(pattern: str) -> str:
@@ -220,7 +290,9 @@ def _sql(pattern: str) -> str:
 
 
 def _redacted() -> F.Column:
-    cleaned = f"array_join(transform(pieces, (p, i) -> if(array_contains(found, i + 1), regexp_replace(p, '{_KEY}', '{MARK}'), p)), '')"
+    inside = "exists(wide, w -> i + 1 >= w.at AND i + 1 < w.at + w.n)"
+    first = "exists(wide, w -> i + 1 = w.at)"
+    cleaned = f"array_join(transform(pieces, (p, i) -> CASE WHEN {first} THEN '{MARK}' WHEN {inside} THEN '' WHEN exists(found, s -> s.at = i + 1) THEN regexp_replace(p, '{_KEY}', '{MARK}') ELSE p END), '')"
     return F.expr(f"CASE WHEN size(found) > 0 THEN {cleaned} ELSE text END")
 
 
@@ -238,7 +310,7 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", model
     return df.select(
         F.col("row.id").alias("doc_id"), count("candidates").alias("n_candidates"), count("found").alias("n_secrets"),
         F.expr("array_max(transform(candidates, s -> s.score))").alias("max_score"),
-        F.expr(f"coalesce(array_join(transform(found, i -> length(array_join(slice(pieces, 1, i - 1), '')) + regexp_instr(element_at(pieces, i), '{_KEY}') - 1), ','), '')").alias("secrets_at"),
+        F.expr(f"coalesce(array_join(transform(found, s -> length(array_join(slice(pieces, 1, s.at - 1), '')) + if(s.n > 0, 0, regexp_instr(element_at(pieces, s.at), '{_KEY}') - 1)), ','), '')").alias("secrets_at"),
         F.sha2(F.coalesce(_redacted(), F.lit("")), 256).alias("redacted_sha256"),
     )
 
