@@ -197,6 +197,21 @@ def test_cluster_and_stitch(spark):
     assert len(wide) == 4 and len(names) == 1
 
 
+def test_cluster_keeps_columns_without_partner(spark):
+    tables = [("a", [["Name", "Note"]], [["ann lee", "only here"], ["bob ray", "nor there"]]), ("b", [["Name"]], [["ann lee"], ["bob ray"]])]
+    t = spark.createDataFrame(tables, "table_id string, head array<array<string>>, body array<array<string>>").withColumn("num_cols", F.array_max(F.transform("body", F.size))).withColumn("num_rows", F.size("body"))
+    out = tableset.TableSet(t).cluster().extra
+    assert {r.text for r in out["stitched"].collect()} == {"ann lee", "bob ray", "only here", "nor there", ""}
+    assert {r.gci: r.cluster for r in out["col_clusters"].collect()} == {0: 0, 2: 0, 1: 1}
+    alone = tableset.TableSet(t).cluster(max_cluster_size=1).extra["stitched"].collect()
+    assert {(r.table_id, r.ri) for r in alone} == {("a", 0), ("a", 1), ("b", 0), ("b", 1)}
+    other = spark.createDataFrame([(0, 1, 1, 0, 0.8)], "ti1 long, ti2 long, ci1 int, ci2 int, score double")
+    both = tableset.TableSet(t).cluster(matchers={"cell": similarity.cell_jaccard, "other": other}, agg_func="max").extra["col_clusters"].collect()
+    assert {r.gci for r in both} == {0, 1, 2}
+    by_other = {r.gci: r.cluster for r in tableset.TableSet(t).cluster(matchers={"other": other}).extra["col_clusters"].collect()}
+    assert by_other[1] == by_other[2] != by_other[0]
+
+
 def test_header_union_keeps_all_rows(spark):
     df = spark.createDataFrame([("h", "b", 0), ("h", "a", 0), ("h", "a", 1), ("g", "c", 0)], "header string, table_id string, ri int")
     n = df.groupBy("header", "table_id").agg(F.count("*").alias("n"))
