@@ -230,6 +230,8 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"edges still change after {rounds} rounds")
     comp = edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
     roots = comp.select(F.col("comp").alias("node"), "comp").distinct()
     return comp.union(roots)

@@ -44,6 +44,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"edges still change after {rounds} rounds")
     found = now.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "node")
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

@@ -288,6 +288,16 @@ def test_components_on_chains(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), **dict.fromkeys(range(200, 203), 200)}
 
 
+def test_components_raise_at_the_cap_instead_of_stopping_short(spark):
+    from loomtable.operators import cluster
+
+    chain = [(i, i + 1) for i in range(40)]
+    for find, names in ((neardup.components, "a long, b long"), (cluster.components, "src long, dst long")):
+        with pytest.raises(RuntimeError):
+            find(spark.createDataFrame(chain, names), rounds=1)
+        assert {r[1] for r in find(spark.createDataFrame(chain, names)).collect()} == {0}
+
+
 # --- secrets ------------------------------------------------------------------------------
 
 
