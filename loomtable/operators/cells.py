@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtable.operators.scratch import written
+
 CELLS = "table_id string, section string, ri int, ci int, text string"
 
 
@@ -33,28 +35,40 @@ def to_tables(cells: DataFrame) -> DataFrame:
 
 
 def offsets(df: DataFrame, value: str | Column, order: list, out: str, by: list[str] | None = None) -> DataFrame:
-    """Exclusive running sum of ``value`` in the given order (0 for the first row).
+    """Exclusive running sum of ``value`` in the given order (0 for the first row); see ``running``."""
+    return running(df, {out: value}, order, by)
+
+
+def running(df: DataFrame, values: dict[str, str | Column], order: list, by: list[str] | None = None) -> DataFrame:
+    """Exclusive running sums (0 for the first row) in the given order, one column per value.
 
     Without ``by`` the order is global.  One window over all rows would put
-    them in one task, so the sum is made in two steps: rows are dealt into
-    ranges of the order, each range is summed in its own task, and only the
-    ranges' totals (one number each) are summed in sequence.
+    them in one task, so the sums are made in two steps: rows are dealt into
+    ranges of the order and written once with their range's number, each range
+    is summed in its own task, and only the ranges' totals (a few numbers each)
+    are summed in sequence.  Both steps read the same written rows: dealing
+    them twice would give other ranges each time.
     """
-    v = F.col(value) if isinstance(value, str) else value
-    frame = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = {out: F.col(v) if isinstance(v, str) else v for out, v in values.items()}
+    exclusive = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     if by:
-        return df.withColumn(out, F.coalesce(F.sum(v).over(frame(Window.partitionBy(*by).orderBy(*order))), F.lit(0)))
-    dealt = df.repartitionByRange(*order).withColumn("_offset_range", F.spark_partition_id()).withColumn("_offset_value", v)
-    totals = dealt.groupBy("_offset_range").agg(F.sum("_offset_value").alias("_offset_total"))
-    before = totals.withColumn("_offset_before", F.coalesce(F.sum("_offset_total").over(frame(Window.orderBy("_offset_range"))), F.lit(0))).select("_offset_range", "_offset_before")
-    inside = dealt.withColumn("_offset_inside", F.coalesce(F.sum("_offset_value").over(frame(Window.partitionBy("_offset_range").orderBy(*order))), F.lit(0)))
-    return inside.join(F.broadcast(before), "_offset_range").withColumn(out, F.col("_offset_before") + F.col("_offset_inside")).drop("_offset_range", "_offset_value", "_offset_before", "_offset_inside")
+        w = exclusive(Window.partitionBy(*by).orderBy(*order))
+        return df.withColumns({out: F.coalesce(F.sum(v).over(w), F.lit(0)) for out, v in sums.items()})
+    own = {out: f"_loom_{i}" for i, out in enumerate(sums)}
+    dealt = df.withColumns({own[out]: v for out, v in sums.items()}).repartitionByRange(*order).withColumn("_loom_range", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    totals = dealt.groupBy("_loom_range").agg(*[F.sum(c).alias(c) for c in own.values()])
+    w = exclusive(Window.orderBy("_loom_range"))
+    before = totals.select("_loom_range", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in own.values()])
+    w = exclusive(Window.partitionBy("_loom_range").orderBy(*order))
+    inside = dealt.withColumns({f"{c}_inside": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in own.values()})
+    out = inside.join(F.broadcast(before), "_loom_range").withColumns({o: F.col(f"{c}_before") + F.col(f"{c}_inside") for o, c in own.items()})
+    return out.drop("_loom_range", *[f"{c}{end}" for c in own.values() for end in ("", "_before", "_inside")])
 
 
 def number_columns(tables: DataFrame) -> DataFrame:
     """Adds table_index (0, 1, ... by table_id) and col_offset (columns of all tables before)."""
-    indexed = offsets(tables, F.lit(1), ["table_id"], "table_index")
-    return offsets(indexed, "num_cols", ["table_id"], "col_offset")
+    return running(tables, {"table_index": F.lit(1), "col_offset": "num_cols"}, ["table_id"])
 
 
 def fold(df: DataFrame, key: list[str], order: list[str], start: Column, step) -> DataFrame:

@@ -112,10 +112,20 @@ def transpose(cells: DataFrame) -> DataFrame:
 
 
 def prefix_rules(cells: DataFrame, rules: DataFrame) -> DataFrame:
-    """Cells that begin with a rule's ``find`` lose it and get the rule's ``header`` (longest rule first); others get null."""
-    at = cells.join(F.broadcast(rules), F.expr("startswith(text, find)"), "left")
-    best = at.withColumn("_n", F.row_number().over(Window.partitionBy("table_id", "section", "ri", "ci").orderBy(F.desc(F.length("find")), "find"))).filter("_n = 1").drop("_n")
-    return best.withColumn("text", F.when(F.col("find").isNotNull(), F.expr("substring(text, length(find) + 1)")).otherwise(F.col("text"))).drop("find")
+    """Cells that begin with a rule's ``find`` lose it and get the rule's ``header`` (longest rule first); others get null.
+
+    Distinct texts are cut to the rules' lengths and joined with the rules on
+    equality, so neither side is compared with all of the other.
+    """
+    known = rules.filter("find <> ''").groupBy("find").agg(F.min("header").alias("header"))
+    sizes = known.agg(F.collect_set(F.length("find"))).first()[0]  # distinct lengths of rules: a short list
+    if not sizes:
+        return cells.withColumn("header", F.lit(None).cast("string"))
+    texts = cells.select("text").distinct()
+    starts = F.filter(F.transform(F.array(*[F.lit(n) for n in sorted(sizes)]), lambda n: F.when(F.length("text") >= n, F.substr("text", F.lit(1), n))), lambda t: t.isNotNull())
+    hit = texts.select("text", F.explode(starts).alias("find")).join(known, "find").groupBy("text").agg(F.max_by(F.struct("find", "header"), F.length("find")).alias("rule"))
+    out = cells.join(hit, "text", "left").withColumn("header", F.col("rule.header"))
+    return out.withColumn("text", F.when(F.col("rule").isNotNull(), F.expr("substring(text, length(rule.find) + 1)")).otherwise(F.col("text"))).select(*cells.columns, "header")
 
 
 def context_columns(cells: DataFrame, attributes: DataFrame, fields: list[str]) -> DataFrame:

@@ -2,54 +2,48 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder shared by all executors and read back: cuts lineage and survives lost executors."""
-    spark: SparkSession = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="loomtable-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/loomtable/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from loomtable.operators.cells import running
+from loomtable.operators.scratch import dropped, written
+from loomtable.operators.skew import salted_join
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph (src, dst); component is its smallest node.
 
-    Each round hangs every node's neighbours on the smallest of them and then
-    shortens the chains; both halves are aggregations and equi joins.  A round
-    that changes no edge is the last.
+    Large-star and small-star steps by turns: every node's neighbours are hung
+    on the smallest of them, then chains are shortened.  The number of rounds
+    grows with the logarithm of the longest chain; the loop ends when a round
+    changes no edge, and no sooner.  A node's smallest neighbour is found by a
+    partial aggregation and handed out by salted joins, so a node with very
+    many neighbours is not one task.
     """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    now = _written(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
+    now = written(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct(), "edges")
+    seen = _mark(now)
+    while True:
         both = now.select("hi", "lo").union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         root = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
-        big = both.filter("lo > hi").join(root, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
+        big = salted_join(both.filter("lo > hi"), root, ["hi"], ["lo"]).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
         root = big.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = big.join(root, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
-        now = _written(small.filter("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct(), "edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        small = salted_join(big, root, ["hi"], ["lo"]).select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
+        after = written(small.filter("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct(), "edges")
+        dropped(now)
+        now, before, seen = after, seen, _mark(after)
+        if seen == before:
             break
-        seen = mark
-    else:
-        raise RuntimeError(f"edges still change after {rounds} rounds")
     found = now.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "node")
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Number of edges and an order-free sum of their hashes: equal if nothing has changed."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+
+
 def louvain_groups(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Modularity communities of one connected graph, as a number per id: moves in the order of ids, then merging, until nothing improves."""
     label = np.arange(len(ids))
@@ -68,7 +62,8 @@ def louvain_groups(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np
         total = degree.sum()
         com, weight_of = list(range(n)), degree.copy()
         moved_any = False
-        for _ in range(50):
+        moved = True
+        while moved:  # each move raises the modularity, so this ends
             moved = False
             for x in range(n):
                 links: dict[int, float] = {}
@@ -83,8 +78,6 @@ def louvain_groups(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np
                 moved |= best != com[x]
                 com[x] = best
             moved_any |= moved
-            if not moved:
-                break
         if not moved_any:
             return label
         _, compact = np.unique(com, return_inverse=True)
@@ -172,12 +165,14 @@ def sliced(parts: DataFrame, most: int) -> DataFrame:
 def header_union(rows: DataFrame, key: str, table: str, n_rows: DataFrame) -> DataFrame:
     """Rows of tables with equal header put below one another: ``union_ri`` is the row number within the union, tables in the order of their id.
 
-    ``n_rows`` has key, table and the number of rows; only these few numbers
-    are summed in sequence, rows themselves just look their offset up.
+    ``n_rows`` has key, table and the number of rows.  These numbers are summed
+    over all headers range by range, and a header's first sum is taken off, so
+    a header that very many tables share is not one task.
     """
-    w = Window.partitionBy(key).orderBy(table).rowsBetween(Window.unboundedPreceding, -1)
-    before = n_rows.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).select(key, table, "before")
-    return rows.join(before, [key, table]).withColumn("union_ri", F.col("before") + F.col("ri")).drop("before")
+    total = written(running(n_rows, {"_loom_total": "n"}, [key, table]), "union-offsets")
+    first = total.groupBy(key).agg(F.min("_loom_total").alias("_loom_first"))
+    before = salted_join(total, first, [key], [table]).select(key, table, (F.col("_loom_total") - F.col("_loom_first")).alias("_loom_before"))
+    return rows.join(before, [key, table]).withColumn("union_ri", F.col("_loom_before") + F.col("ri")).drop("_loom_before")
 
 
 def majority_header(cells: DataFrame, by: list[str]) -> DataFrame:

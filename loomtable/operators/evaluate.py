@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtable.operators.cells import offsets
+from loomtable.operators.cells import running
 
 
 def flagged(gold: DataFrame, pred: DataFrame, key: list[str]) -> DataFrame:
@@ -52,11 +52,11 @@ def pr_curve(flags: DataFrame) -> DataFrame:
     """(threshold, precision, recall) for each distinct score, falling, and the end point (null, 1, 0).
 
     Scores are counted first, and running sums over distinct scores are made
-    range by range (see ``cells.offsets``), so no task holds all of them.
+    range by range (see ``cells.running``), so no task holds all of them.
     """
     n = flags.filter("pred").groupBy((-F.col("score")).alias("down")).agg(F.count_if("gold").alias("hit"), F.count("*").alias("all"))
     total = flags.agg(F.count_if("gold").alias("support"))
-    run = offsets(offsets(n, "hit", ["down"], "hit_before"), "all", ["down"], "all_before").crossJoin(F.broadcast(total))
+    run = running(n, {"hit_before": "hit", "all_before": "all"}, ["down"]).crossJoin(F.broadcast(total))
     run = run.select((F.lit(0.0) - F.col("down")).alias("score"), (F.col("hit_before") + F.col("hit")).alias("tp"), (F.col("all_before") + F.col("all")).alias("n"), "support")
     points = run.select(F.col("score").alias("threshold"), (F.col("tp") / F.col("n")).alias("precision"), F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0).alias("recall"))
     return points.unionByName(total.select(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))

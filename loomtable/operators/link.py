@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomtable.functions import text as T
 from loomtable.operators.cells import linkable
+from loomtable.operators.scratch import written
 
 
 def pattern(triples: DataFrame, s=None, p=None, o=None) -> DataFrame:
@@ -90,7 +91,8 @@ def link_first(cells: DataFrame, labels: DataFrame, types: DataFrame, triples: D
     open_ = cells.filter(linkable(F.col("text")))
     if existing is not None:
         open_ = open_.join(existing.select(*cell).distinct(), cell, "left_anti")
-    found = open_.join(search(open_, labels, triples, max(search_limit, limit)), "text")
+    # Written once: the majority class and the choice both read it.
+    found = written(open_.join(search(open_, labels, triples, max(search_limit, limit)), "text"), "candidates")
     major = majority_class(found, types, class_cover).select("table_id", "ci", F.col("type").alias("major"))
     of = found.join(major, ["table_id", "ci"], "left")
     fits = of.join(types.withColumnRenamed("type", "major").withColumn("fits", F.lit(True)).distinct(), ["uri", "major"], "left")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtable.functions import text as T
+from loomtable.operators.scratch import written
 
 PAIR = ["ti1", "ti2", "ci1", "ci2"]
 
@@ -41,14 +42,32 @@ def cell_jaccard(cells: DataFrame, block: DataFrame) -> DataFrame:
     return pairs.groupBy(*PAIR).agg(F.max(T.jaccard(F.col("a"), F.col("b"))).alias("score"))
 
 
-def shared_token_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows with id and text that share a token, with the number shared and their token-set Jaccard: an equi join on tokens and a count, no sets are shuffled."""
-    words = lambda df: df.select("id", F.explode(T.tokens(F.col("text"))).alias("token"))
+def shared_token_pairs(left: DataFrame, right: DataFrame, least: float = 0.1) -> DataFrame:
+    """Pairs (a, b) of rows (id, text) whose token sets have a Jaccard of at least ``least`` (over 0), with the number of shared tokens.
+
+    Tokens are ordered from rare to common.  Two sets that are alike enough
+    share one of the first ``n - ceil(least * n) + 1`` tokens of either, so only
+    these are joined: a token that a third of all rows hold is in the prefix of
+    rows with nothing rarer alone.  Candidates are verified on the whole sets.
+    """
+    words = lambda df: df.select("id", F.array_distinct(T.tokens(F.col("text"))).alias("set")).filter("size(set) > 0")
     l, r = words(left), words(right)
-    nl, nr = l.groupBy("id").agg(F.count("*").alias("na")), r.groupBy("id").agg(F.count("*").alias("nb"))
-    both = l.withColumnRenamed("id", "a").join(r.withColumnRenamed("id", "b"), "token").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    out = both.join(nl.withColumnRenamed("id", "a"), "a").join(nr.withColumnRenamed("id", "b"), "b")
-    return out.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+    rank = l.unionByName(r).select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+    def ordered(df: DataFrame) -> DataFrame:
+        seen = df.select("id", F.explode("set").alias("token")).join(rank, "token")
+        rows = seen.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("set"))
+        n = F.size("set")
+        return rows.withColumn("prefix", F.slice("set", 1, n - F.ceil(n * F.lit(least)).cast("int") + 1))
+
+    x = ordered(l).select(F.col("id").alias("a"), F.col("set").alias("sa"), "prefix")
+    y = ordered(r).select(F.col("id").alias("b"), F.col("set").alias("sb"), "prefix")
+    near = lambda n, m: (n * F.lit(1.0) >= m * F.lit(least)) & (m * F.lit(1.0) >= n * F.lit(least))
+    met = x.select("a", F.size("sa").alias("na"), F.explode("prefix").alias("token")).join(y.select("b", F.size("sb").alias("nb"), F.explode("prefix").alias("token")), "token")
+    pairs = met.filter(near(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    both = pairs.join(x.drop("prefix"), "a").join(y.drop("prefix"), "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("bigint"))
+    out = both.select("a", "b", "shared", (F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared"))).alias("jaccard"))
+    return out.filter(F.col("jaccard") >= least)
 
 
 def lsh_shape(slots: int, threshold: float) -> tuple[int, int]:
@@ -86,12 +105,17 @@ def lsh_score(signatures: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", T.minhash_estimate(F.col("sa"), F.col("sb")).alias("score"))
 
 
-def top_cosine(queries: DataFrame, vectors: DataFrame, n: int, least: float | None = None, limit: int = 200_000) -> DataFrame:
-    """The n most similar other vectors of each query (id, v): query, id, score, rank; ties to smaller ids.
+#: Queries that are sent to all tasks at once, and vectors of one step of a matrix product.
+QUERY_BLOCK, VECTOR_BLOCK = 16_384, 1024
+
+
+def top_cosine(queries: DataFrame, vectors: DataFrame, n: int, least: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """The n most similar other vectors of each query (id, v), exactly: query, id, score, rank; ties to smaller ids.
 
-    Queries go to all tasks as one matrix in blocks of at most ``limit``; each
-    Arrow batch of vectors is one matrix product, of which only the n best per
-    query leave the task.
+    Queries pass in blocks of at most ``block``, one after another, so neither
+    the driver nor a task ever holds more; vectors are scanned where they lie.
+    A task keeps the n best per query and gives them out at its end, so what is
+    shuffled is n rows per query and task.  The work is queries times vectors.
     """
     import numpy as np
     import pyarrow as pa
@@ -99,42 +123,76 @@ def top_cosine(queries: DataFrame, vectors: DataFrame, n: int, least: float | No
     spark = vectors.sparkSession
     schema = "query bigint, id bigint, score double"
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    floor = -np.inf if least is None else least
 
-    def block(rows):
-        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in rows]), unit(np.array([r["v"] for r in rows], dtype=float))))
-
+    def scan(shared):
         def run(batches):
             ids, q = shared.value
+            best = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
             for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                vid = batch.column("id").to_numpy()
-                m = unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vid), -1))
-                s = np.round(q @ m.T, 9)
-                s[ids[:, None] == vid[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :n]
-                best = np.take_along_axis(s, order, 1)
-                fine = np.isfinite(best) & (best > (-np.inf if least is None else least))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1]).reshape(order.shape)[fine]), pa.array(vid[order][fine]), pa.array(best[fine])], names=["query", "id", "score"])
+                for lo in range(0, batch.num_rows, VECTOR_BLOCK):
+                    part = batch.slice(lo, VECTOR_BLOCK)
+                    vid = part.column("id").to_numpy()
+                    m = unit(part.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vid), -1))
+                    for at in range(0, len(ids), VECTOR_BLOCK):
+                        s = np.round(q[at : at + VECTOR_BLOCK] @ m.T, 9)
+                        for i, row in enumerate(s, at):
+                            old = best[i][1]
+                            good = np.flatnonzero((row > floor) & (row >= (old[-1] if len(old) == n else -np.inf)) & (vid != ids[i]))
+                            if len(good):
+                                some, score = np.concatenate([best[i][0], vid[good]]), np.concatenate([old, row[good]])
+                                order = np.lexsort((some, -score))[:n]
+                                best[i] = some[order], score[order]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids, [len(b[0]) for b in best])), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["query", "id", "score"]
+            )
 
         return vectors.select(F.col("id").cast("bigint"), F.col("v").cast("array<double>")).mapInArrow(run, schema)
 
     asked = queries.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    count = asked.count()
-    parts = max(1, math.ceil(count / limit))
-    frames = [block(asked.filter(F.pmod("id", F.lit(parts)) == k).orderBy("id").collect()) for k in range(parts)] if count else []
-    near = reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], schema)
+    parts = math.ceil(asked.count() / block)
+    near = spark.createDataFrame([], schema)
+    for k in range(parts):
+        rows = asked.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).orderBy("id").collect()  # about ``block`` rows
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in rows]), unit(np.array([r["v"] for r in rows], dtype=float))))
+        found = scan(shared)
+        if parts > 1:
+            found = written(found, "near")
+            shared.destroy()
+        near = near.unionByName(found)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
 def sparse_cosine(weights: DataFrame, least: float = 0.0) -> DataFrame:
-    """Cosine of sparse vectors (id, key, w) that share a key: an equi join on keys, products summed per pair."""
-    norm = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    """Pairs (a, b, score) of sparse vectors (id, key, w) with a cosine over ``least``.
+
+    With ``least`` over 0 keys are ordered from rare to common, and a vector's
+    tail of keys whose joint length is under ``least`` is left out of the
+    search: what two vectors share there alone cannot reach it.  Candidates are
+    scored on all keys.  With 0 every shared key counts and all are joined.
+    """
+    norm = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).filter("norm > 0")
     x = weights.join(norm, "id").select("id", "key", (F.col("w") / F.col("norm")).alias("w"))
-    a, b = x.alias("a"), x.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
-    return met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("score")).filter(F.col("score") > least)
+    if least <= 0:
+        a, b = x.alias("a"), x.alias("b")
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+        return met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("score")).filter(F.col("score") > least)
+    rank = x.groupBy("key").agg(F.count("*").alias("df"))
+    rows = x.join(rank, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key", "w"))).alias("keys"))
+    tail = F.aggregate(F.reverse("keys"), F.struct(F.lit(0.0).alias("left"), F.lit(0).alias("n")), lambda s, k: F.when(s["left"] + k["w"] * k["w"] < least * least * (1 - 1e-9), F.struct((s["left"] + k["w"] * k["w"]).alias("left"), (s["n"] + 1).alias("n"))).otherwise(
+        F.struct(F.lit(2.0).alias("left"), s["n"].alias("n"))
+    ), lambda s: s["n"])
+    rows = written(rows.select("id", F.transform("keys", lambda k: F.struct(k["key"].alias("key"), k["w"].alias("w"))).alias("keys"), F.transform(F.slice("keys", 1, F.size("keys") - tail), lambda k: k["key"]).alias("prefix")), "sparse")
+    head = rows.select("id", F.explode("prefix").alias("key"))
+    a, b = head.alias("a"), head.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    side = lambda out: rows.select(F.col("id").alias(out), F.map_from_entries("keys").alias(f"k{out}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    dot = F.aggregate(F.map_entries("ka"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.col("kb")[e["key"]], F.lit(0.0)))
+    return both.select("a", "b", dot.alias("score")).filter(F.col("score") > least)
 
 
 def tfidf(texts: DataFrame, least_df: int = 1, most_df: int | None = None) -> DataFrame:

@@ -88,7 +88,7 @@ def unpivot_cells(cells: DataFrame, pivots: DataFrame) -> DataFrame:
     leaves no id columns; such tables are left out, as unpivoting them has no
     meaning.
     """
-    df = cells.join(F.broadcast(pivots), "header_id")
+    df = cells.join(pivots, "header_id")
     inside = F.col("ci").between(F.col("colfrom"), F.col("colto"))
     body = df.filter("section = 'body'")
     ids = body.filter(~inside).groupBy("table_id", "ri").agg(F.transform(F.array_sort(F.collect_list(F.struct("ci", "text"))), lambda x: x["text"]).alias("ids"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomtable.operators import cells as C
 from loomtable.operators import clean, cluster, evaluate, link, profile, similarity, unpivot
+from loomtable.operators.scratch import written
 from loomtable.plans import config
 from loomtable.sources import files
 from loomtable.sources import html as H
@@ -94,7 +95,7 @@ class TableSet:
         blocks of tables; by default ``cell`` alone, the best Jaccard of two cells.  ``agg_func`` is an expression over their names.  Columns
         without a partner in their partition are clusters of their own.
         """
-        t = C.number_columns(self.tables)
+        t = written(C.number_columns(self.tables), "numbered")  # read several times below
         body = C.to_cells(t).filter("section = 'body'").join(t.select("table_id", F.col("table_index").alias("ti"), "col_offset"), "table_id")
         flat = body.select("ti", "ci", "text").distinct()
         block = similarity.cell_block(flat)
@@ -102,11 +103,11 @@ class TableSet:
         pairs = C.concat(*[(m(flat, block) if callable(m) else m).select(*similarity.PAIR, "score", F.lit(name).alias("matcher")) for name, m in matchers.items()])
         pairs = pairs.select("ti1", "ti2", "ci1", "ci2", F.col("score").cast("double").alias("score"), "matcher").filter("ti1 < ti2")
         scores = similarity.wide_scores(pairs, list(matchers)).select(*similarity.PAIR, similarity.score_expression(agg_func, list(matchers)).alias("score")).filter("score IS NOT NULL")
-        scores = cluster._written(scores, "scores")  # read more than once below
+        scores = written(scores, "scores")  # read more than once below
         sims = similarity.normalised(similarity.greedy_alignment(scores), t.select(F.col("table_index").alias("ti"), F.col("num_cols").alias("n")), how).filter(F.col("sim") > agg_threshold)
         edges = sims.select(F.col("ti1").alias("src"), F.col("ti2").alias("dst"), F.col("sim").alias("weight"))
         parts = cluster.sliced(cluster.louvain(edges, edge_exp), max_cluster_size).select(F.col("node").alias("ti"), (F.col("part") * 100_000 + F.col("slice")).cast("bigint").alias("part"))
-        parts = cluster._written(parts, "parts")
+        parts = written(parts, "parts")
         off = t.select(F.col("table_index").alias("ti"), "col_offset")
         inside = scores.join(parts.withColumnsRenamed({"ti": "ti1", "part": "part"}), "ti1").join(parts.withColumnsRenamed({"ti": "ti2", "part": "part2"}), "ti2").filter((F.col("part") == F.col("part2")) & (F.col("score") > agg_threshold_col))
         gci = inside.join(off.withColumnsRenamed({"ti": "ti1", "col_offset": "o1"}), "ti1").join(off.withColumnsRenamed({"ti": "ti2", "col_offset": "o2"}), "ti2")
@@ -114,7 +115,7 @@ class TableSet:
         width = t.select(F.col("table_index").alias("ti"), "col_offset", "num_cols").filter("num_cols > 0")
         every = parts.join(width, "ti").select("part", F.explode(F.expr("sequence(0, CAST(num_cols AS INT) - 1)")).alias("ci"), "col_offset").select("part", (F.col("col_offset") + F.col("ci")).cast("bigint").alias("c"))
         clusters = cluster.column_clusters(found.unionByName(every.select("part", F.col("c").alias("c1"), F.col("c").alias("c2"), F.lit(1.0).alias("score"))))
-        clusters = cluster._written(clusters, "clusters")
+        clusters = written(clusters, "clusters")
         stitched = cluster.stitch(body.withColumn("gci", (F.col("col_offset") + F.col("ci")).cast("bigint")).select("table_id", "ri", "gci", "text"), clusters)
         return self.with_(partitions=parts.join(t.select("table_id", F.col("table_index").alias("ti")), "ti").select("table_id", "part"), col_clusters=clusters, stitched=stitched)
 

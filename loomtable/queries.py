@@ -378,7 +378,7 @@ _WORDS = r"regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')"
     f"""WITH b AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS w FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest({_WORDS}) AS w FROM documents),
     nb AS (SELECT item_id, count(*) AS n FROM b WHERE w <> '' GROUP BY 1), nd AS (SELECT doc_id, count(*) AS n FROM d WHERE w <> '' GROUP BY 1)
     SELECT item_id, doc_id, CAST(count(*) AS BIGINT) AS shared, round(count(*) / (any_value(nb.n) + any_value(nd.n) - count(*)), 6) AS jaccard
-    FROM b JOIN d USING (w) JOIN nb USING (item_id) JOIN nd USING (doc_id) WHERE w <> '' GROUP BY ALL"""
+    FROM b JOIN d USING (w) JOIN nb USING (item_id) JOIN nd USING (doc_id) WHERE w <> '' GROUP BY ALL HAVING count(*) / (any_value(nb.n) + any_value(nd.n) - count(*)) >= 0.1"""
 )
 def token_jaccard_match(spark, sf):
     b = _t(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")

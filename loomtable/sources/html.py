@@ -108,9 +108,13 @@ def text_and_links(node: Node) -> tuple[str, list[tuple[int, int, str]]]:
     return "".join(out), links
 
 
+#: The HTML standard's largest spans.
+MOST = {"rowspan": 65_534, "colspan": 1000}
+
+
 def _span(cell: Node, name: str) -> int:
     try:
-        return max(1, min(1000, int(cell.attrs.get(name, "1"))))
+        return max(1, min(MOST[name], int(cell.attrs.get(name, "1"))))
     except ValueError:
         return 1
 

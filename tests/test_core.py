@@ -397,3 +397,71 @@ def test_stream_of_pages(spark, tmp_path):
         q.awaitTermination(120)
     assert rows(spark.sql("SELECT table_id, num_rows FROM tables")) == [("a#0", 1), ("b#0", 1)]
     assert rows(spark.sql("SELECT header, n FROM heads")) == [("A|B", 2)]
+
+
+# --- scale ------------------------------------------------------------------------------------
+
+
+def test_running_sums_are_exact_over_many_ranges(spark):
+    """Wide rows and many partitions: ranges that were dealt twice would differ."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        n = 1_500_000
+        df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.lit("x"), 100).alias("wide"), (F.col("id") % 5).alias("n"))
+        assert tuple(C.offsets(df, F.lit(1), ["k"], "o").agg(F.count("*"), F.sum((F.col("o") != F.col("k")).cast("int"))).first()) == (n, 0)
+        t = C.number_columns(df.select(F.format_string("%07d", "k").alias("table_id"), F.col("n").alias("num_cols"))).agg(F.count_distinct("table_index"), F.max("table_index"), F.max(F.col("col_offset") + F.col("num_cols"))).first()
+        assert tuple(t) == (n, n - 1, 2 * n)
+        curve = spark.range(200_000).select(F.col("id").cast("double").alias("score"), F.lit(True).alias("gold"), F.lit(True).alias("pred"))
+        assert tuple(evaluate.pr_curve(curve).agg(F.max("recall"), F.min("precision")).first()) == (1.0, 1.0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_components_of_a_long_chain_and_a_large_star(spark):
+    chain = spark.range(5000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    star = spark.range(20_000).select(F.lit(10_000).cast("bigint").alias("src"), (F.col("id") + 10_001).alias("dst"))
+    assert rows(cluster.components(chain.union(star)).groupBy("component").count()) == [(0, 5001), (10_000, 20_001)]
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    from loomtable.operators import scratch
+
+    at = scratch.mark()
+    a, b = scratch.written(spark.range(3), "a"), scratch.written(spark.range(4), "b")
+    scratch.dropped_since(spark, at, b)
+    assert b.count() == 4 and scratch.mark() == at + 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ"):
+        spark.read.parquet(a._loomtable_path).count()
+
+
+def test_pairs_by_prefixes_lose_nothing(spark):
+    import random
+
+    r = random.Random(3)
+    texts = [(i, " ".join(["the", *(r.choice("abcdefghij") for _ in range(r.randint(0, 6)))])) for i in range(120)] + [(500, ""), (501, None)]
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    sets = {i: set((t or "").split()) for i, t in texts}
+    for least in (0.1, 0.5, 0.75):
+        want = sorted((a, b) for a in sets for b in sets if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least)
+        assert sorted((x.a, x.b) for x in similarity.shared_token_pairs(df, df, least).collect()) == want
+    weights = [(i, w, r.random()) for i, s in sets.items() for w in s]
+    vec = {i: {w: v for j, w, v in weights if j == i} for i in sets}
+    norm = lambda v: sum(x * x for x in v.values()) ** 0.5
+    for least in (0.3, 0.8):
+        want = sorted((a, b) for a in vec for b in vec if a < b and vec[a] and vec[b] and sum(x * vec[b].get(w, 0) for w, x in vec[a].items()) / norm(vec[a]) / norm(vec[b]) > least)
+        assert sorted((x.a, x.b) for x in similarity.sparse_cosine(spark.createDataFrame(weights, "id bigint, key string, w double"), least).collect()) == want
+
+
+def test_top_cosine_in_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    v = r.normal(size=(300, 5))
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id bigint, v array<double>").repartition(3)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -9)
+    want = {(i, int(j), k) for i in range(300) for k, j in enumerate(np.lexsort((np.arange(300), -s[i]))[:4], 1)}
+    for block in (16_384, 100):
+        assert {(x.query, x.id, x["rank"]) for x in similarity.top_cosine(df, df, 4, block=block).collect()} == want
