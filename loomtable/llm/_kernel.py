@@ -161,6 +161,18 @@ class Words:
         return b" ".join(self.bytes[s:e].tobytes() for s, e in zip(self.start[lo:hi].tolist(), self.end[lo:hi].tolist(), strict=True))
 
 
+def grams_of(h: np.ndarray, k: int) -> np.ndarray:
+    """``Words.grams`` of one text's word hashes; of fewer than k words, but not none, the whole as one."""
+    n = len(h)
+    size = min(k, n)
+    if not size:
+        return np.zeros(0, dtype=np.uint64)
+    acc = h[: n - size + 1].copy()
+    for j in range(1, size):
+        acc = acc * _STEP + h[j : n - size + 1 + j]
+    return mix(acc + np.uint64(size))
+
+
 def words_of(texts: list[str], table: np.ndarray = ALNUM) -> Words:
     """For small lists on the driver and in tests."""
     offsets, raw = buffers(pa.array(texts, pa.large_string()))

@@ -5,13 +5,16 @@ from __future__ import annotations
 import contextlib
 import os
 import sys
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtable.operators.scratch import dropped, dropped_since, mark, scratch, shared_dir, written
+from loomtable.operators.skew import salted_join
+
+__all__ = ["ascii_lower", "batches_of", "dropped", "dropped_since", "has", "mark", "packed", "salted_join", "scratch", "shared_dir", "table", "unpacked", "written"]
+
 
 def ship() -> None:
     """Where executors would not find this package on their path, pickle its functions by value."""
@@ -26,32 +29,6 @@ def ship() -> None:
 ship()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Only where it is unset (tests, one machine) a temporary one is made."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="loomtable-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name for one run below the shared folder."""
-    return f"{shared_dir(spark)}/loomtable/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back.
-
-    Cuts lineage: a lost executor costs a re-read, not a recomputation, and the
-    files are visible to every executor.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """While this holds, Python workers get Arrow batches of at most so many rows: for steps that run inside, over long rows."""

@@ -21,12 +21,16 @@
    group of n copies costs n pairs, not n^2.  The members of the other buckets
    are dealt into blocks of bounded size; each pair of blocks is compared
    exactly, all sets of one against all of the other as one matrix product,
-   and only links that join components leave the task.  So no link that could
-   join two components is left untested, no pair list is made, and a hot bucket
-   is many small tasks.
+   and only links that join components leave the task.  Pairs of blocks are
+   dealt by (bucket, second block), so a bucket of n blocks is n keys of at most
+   n pairs each.  No link that could join two components is left untested, and
+   no list of document pairs is made.
 
 Components are found by distributed label contraction over written tables;
-links, labels and sketches never come to the driver.
+links, labels and sketches never come to the driver.  Joins on a key that many
+rows share (a bucket's leader, a component, a digest) are salted.  A text longer
+than ``LONG`` bytes is sketched in pieces whose registers are merged.
+Intermediate tables are deleted as soon as nothing reads them.
 
 Defined results: null and empty texts, and texts without words, have an empty
 set, are linked with nothing and are their own component.  Rows with equal
@@ -46,7 +50,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtable.llm import _kernel as K
-from loomtable.llm._shared import batches_of, has, packed, table, unpacked, written
+from loomtable.llm._shared import batches_of, dropped, has, packed, salted_join, table, unpacked, written
+from loomtable.operators import cluster
 
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
@@ -54,11 +59,16 @@ BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 MARGIN = 5.0
 #: Members, and shingles, of a block: what one task holds twice of a bucket that is compared in full.
 BLOCK, BLOCK_SHINGLES = 128, 60_000
-#: A list of wanted ids is sent to all executors up to this length (16 MB); beyond, a shuffle join does the same.
-BROADCAST_IDS = 2_000_000
+#: A list of wanted rows is sent to all executors up to this length (about 100 bytes each in memory); beyond, a shuffle join does the same.
+BROADCAST_IDS = 500_000
+#: Leaders of buckets with more members than this are joined by salt.
+HOT = 1000
+SALTS = 16
+#: Bytes of a text that is sketched in pieces, and shingles of one piece's registers.
+LONG, PIECE = 4 * K.CHUNK_BYTES, 1 << 20
 
 _FACTORS = (K.mix(np.arange(1000, 1000 + REGISTERS, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
-SKETCH = "id bigint, n_shingles bigint, digest binary, bands array<bigint>, registers binary"
+SKETCH = "id bigint, mark bigint, n_shingles bigint, digest binary, bands array<bigint>, registers binary"
 
 
 def shingles(w: K.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +98,25 @@ def minima(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_shingles(raw: np.ndarray, letters: np.ndarray, k: int, size: int = K.CHUNK_BYTES) -> np.ndarray:
+    """Shingle hashes of one very long text: words are hashed piece by piece (cut where no word stands), so the temporary arrays stay small."""
+    h, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + size)
+        while end < len(raw) and letters[K.LOWER[raw[end]]]:
+            step = np.flatnonzero(~letters[K.LOWER[raw[end : end + 4096]]])
+            end = end + int(step[0]) if len(step) else min(len(raw), end + 4096)
+        h.append(K.Words(np.array([at, end]), raw, letters).hashes())
+        at = end
+    return K.grams_of(np.concatenate(h) if h else np.zeros(0, np.uint64), k)
+
+
+def merged_minima(grams: np.ndarray, size: int = PIECE) -> np.ndarray:
+    """Minima of one text's shingles: those of its pieces, merged."""
+    parts = [minima(grams[lo : lo + size], np.array([0, len(grams[lo : lo + size])])) for lo in range(0, len(grams), size)]
+    return np.minimum.reduce(parts) if parts else np.empty((0, REGISTERS), dtype=np.uint64)
+
+
 def registers(low: np.ndarray) -> np.ndarray:
     """Minima of uniform values to truncated, exponentially spaced registers."""
     u = (low.astype(np.float64) + 0.5) * 2.0**-64
@@ -129,10 +158,9 @@ def sketch(docs: DataFrame, id_col: str, text: str, k: int, split: str) -> DataF
         for batch in batches:
             offsets, raw = K.buffers(batch.column("text"))
             for lo, hi in K.chunks(offsets):
-                w = K.Words(offsets[lo : hi + 1], raw, letters)
-                grams, bounds = shingles(w, k)
+                grams, bounds = _grams(offsets[lo : hi + 1], raw, letters, k)
                 full = np.flatnonzero(np.diff(bounds) > 0)
-                regs = registers(minima(grams, bounds))
+                regs = registers(merged_minima(grams) if hi - lo == 1 else minima(grams, bounds))
                 sizes, digests, sigs = [0] * (hi - lo), [None] * (hi - lo), [None] * (hi - lo)
                 for i, d in enumerate(full.tolist()):
                     s = np.unique(grams[bounds[d] : bounds[d + 1]])
@@ -141,19 +169,38 @@ def sketch(docs: DataFrame, id_col: str, text: str, k: int, split: str) -> DataF
                 lens[full + 1] = BANDS
                 keys = pa.ListArray.from_arrays(pa.array(np.cumsum(lens, dtype=np.int32)), pa.array(bands(regs).reshape(-1) if len(full) else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), keys, pa.array(sigs, pa.binary())],
-                    names=["id", "n_shingles", "digest", "bands", "registers"],
+                    [batch.column("id").slice(lo, hi - lo), batch.column("mark").slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), keys, pa.array(sigs, pa.binary())],
+                    names=["id", "mark", "n_shingles", "digest", "bands", "registers"],
                 )
 
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, SKETCH)
+    return _read(docs, id_col, text).mapInArrow(run, SKETCH)
+
+
+def _read(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """id, mark (a hash of the text: with it, rows of one id are told apart) and text."""
+    t = F.col(f"`{text}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(t).alias("mark"), t.alias("text"))
+
+
+def _grams(offsets: np.ndarray, raw: np.ndarray, letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(offsets) == 2 and offsets[1] - offsets[0] > LONG:
+        grams = long_shingles(raw[int(offsets[0]) : int(offsets[1])], letters, k)
+        return grams, np.array([0, len(grams)])
+    return shingles(K.Words(offsets, raw, letters), k)
+
+
+def _with_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Pairs (a: a leader, b, hot) with ``values`` (node, x) of both ends as xa and xb; a hot leader's pairs are dealt by salt."""
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    leaders = pairs.groupBy("a").agg(F.max("hot").alias("hot")).join(values.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a")
+    leaders = leaders.select("a", "xa", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))).alias("salt"))
+    return pairs.join(values.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b").withColumn("salt", salt).join(leaders, ["a", "salt"]).drop("salt")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, ...) whose sketches don't rule the threshold out."""
-    regs = classes.select("node", F.col("n_shingles").alias("n"), "registers")
-    both = pairs.join(regs.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra")), "a").join(
-        regs.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "b"
-    )
+    """Pairs (a, b, hot) whose sketches don't rule the threshold out."""
+    both = _with_ends(pairs, classes.select("node", F.struct(F.col("n_shingles").alias("n"), F.col("registers").alias("r")).alias("x")))
+    both = both.select("a", "b", "hot", F.col("xa.n").alias("na"), F.col("xb.n").alias("nb"), F.col("xa.r").alias("ra"), F.col("xb.r").alias("rb"))
     # Set sizes alone bound the similarity from above.
     both = both.where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
     low = threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / REGISTERS)
@@ -165,21 +212,20 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
                 a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
                 na, nb = (part.column(c).to_numpy().astype(float) for c in ("na", "nb"))
                 keep = pa.array(estimate(a, b, na, nb) >= low)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(keep)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), part.column("hot")], names=["a", "b", "hot"]).filter(keep)
 
-    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(run, "a bigint, b bigint, hot boolean")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, id_col: str, text: str, k: int, split: str) -> DataFrame:
-    """(node, set) for the wanted (node, id, digest): texts are read again and shingled, others are filtered out by id before they move."""
+    """(node, set) for the wanted (node, id, mark, digest): texts are read again and shingled, others are filtered out by id and mark before they move."""
     letters = K.SPACED if split == "space" else K.ALNUM
 
     def run(batches):
         for batch in batches:
             offsets, raw = K.buffers(batch.column("text"))
             for lo, hi in K.chunks(offsets):
-                w = K.Words(offsets[lo : hi + 1], raw, letters)
-                grams, bounds = shingles(w, k)
+                grams, bounds = _grams(offsets[lo : hi + 1], raw, letters, k)
                 sets = [np.unique(grams[bounds[d] : bounds[d + 1]]) for d in range(hi - lo)]
                 want = batch.column("digest").slice(lo, hi - lo).to_pylist()
                 good = [i for i, s in enumerate(sets) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == want[i]]
@@ -190,9 +236,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, id_col: str, text:
                     names=["node", "set"],
                 )
 
-    d = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id_"), F.col(f"`{text}`").cast("string").alias("text"))
-    small = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted
-    got = d.join(small, d["id_"].eqNullSafe(small["id"])).select("node", "digest", "text").mapInArrow(run, "node bigint, set array<bigint>")
+    d = _read(docs, id_col, text)
+    small = wanted.select(F.col("id").alias("id_"), F.col("mark").alias("mark_"), "node", "digest")
+    small = F.broadcast(small) if n_wanted <= BROADCAST_IDS else small
+    got = d.join(small, (d["mark"] == small["mark_"]) & d["id"].eqNullSafe(small["id_"])).select("node", "digest", "text").mapInArrow(run, "node bigint, set array<bigint>")
     return got.dropDuplicates(["node"])
 
 
@@ -200,41 +247,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, name: str,
     """Pairs with the sizes of both sets and their intersection, and whether they are linked: exact, on the full sets."""
     pairs = written(pairs, f"{name}-pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(ends.join(classes.select("node", "id", "digest"), "node"), f"{name}-wanted")
+    wanted = written(ends.join(classes.select("node", "id", "mark", "digest"), "node"), f"{name}-wanted")
     sets = written(_sets(docs, wanted, wanted.count(), id_col, text, k, split), f"{name}-sets")
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a")
-    both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("bigint")).withColumn("all", F.size("sa") + F.size("sb") - F.col("shared"))
-    return written(both.select("a", "b", "shared", "all", (F.col("shared") * 100 >= F.col("all") * percent).alias("linked")), f"{name}-links")
-
+    both = _with_ends(pairs, sets.select("node", F.col("set").alias("x")))
+    both = both.withColumn("shared", F.size(F.array_intersect("xa", "xb")).cast("bigint")).withColumn("all", F.size("xa") + F.size("xb") - F.col("shared"))
+    out = written(both.select("a", "b", "shared", "all", (F.col("shared") * 100 >= F.col("all") * percent).alias("linked")), f"{name}-links")
+    dropped(pairs, wanted, sets)
+    return out
 
-def components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """(node, comp) for every node of the links (a, b): comp is the smallest node reachable.
 
-    Alternates large-star and small-star steps; each round is a few
-    aggregations over a written edge table and the number of rounds grows with
-    the logarithm of the longest chain.  Ends when a round changes nothing.
-    """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    before = None
-    for _ in range(rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        small = small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        edges = written(small, name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"edges still change after {rounds} rounds")
-    comp = edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
-    roots = comp.select(F.col("comp").alias("node"), "comp").distinct()
-    return comp.union(roots)
+def components(links: DataFrame) -> DataFrame:
+    """(node, comp) for every node of the links (a, b): comp is the smallest node reachable."""
+    return cluster.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select("node", F.col("component").alias("comp"))
 
 
 def _joins(percent: int):
@@ -283,45 +307,52 @@ def _joins(percent: int):
 
 
 def link_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, split: str = "alnum") -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows have id, n_shingles, digest; classes have node, digest, id (smallest) and comp (a node)."""
+    """(rows, classes): rows have id, n_shingles, digest; classes have node, digest, id (smallest), n_rows and, where linked with another class, comp (a node; else null)."""
     how = {"id_col": id_col, "text": text, "k": k, "split": split, "percent": percent}
     with batches_of(docs.sparkSession, 1000):
         rows = written(sketch(docs, id_col, text, k, split), "sketch")
-    classes = (
-        rows.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
+    classes = rows.where("n_shingles > 0").groupBy("digest").agg(
+        F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("best"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")
     )
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = classes.select("digest", F.col("best.id").alias("id"), F.col("best.mark").alias("mark"), "n_rows", "n_shingles", "bands", "registers", F.monotonically_increasing_id().alias("node"))
+    classes = written(classes, "classes")
     member = classes.select("node", F.explode("bands").alias("band"))
     # Each bucket has a leader of its own, so the members of a large group meet many different leaders.
-    shared = member.groupBy("band").agg(F.min_by("node", F.xxhash64("band", "node")).alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")
-    buckets = written(member.join(shared, "band"), "buckets")
-    star = buckets.where("node <> first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
+    shared = member.groupBy("band").agg(F.min_by("node", F.xxhash64("band", "node")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    buckets = written(salted_join(member, shared, ["band"], ["node"]), "buckets")
+    star = buckets.where("node <> first").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg((F.max("n") > HOT).alias("hot"))
     stars = _verified(docs, _likely(star, classes, percent / 100), classes, "star", **how)
-    links = stars.where("linked").select("a", "b")
-    comp = written(components(links), "first-components")
+    comp = written(components(stars.where("linked").select("a", "b")), "first-components")
+    dropped(stars)
     # Buckets of three or more that still hold several components: pairs that have not met a leader.
-    at = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(classes.select("node", "id", "digest", F.col("n_shingles").alias("n")), "node")
+    at = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(classes.select("node", "id", "mark", "digest", F.col("n_shingles").alias("size")), "node")
+    at = at.select("node", "band", "comp", "id", "mark", "digest", "size")
     open_ = (
-        at.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.sum("n").alias("total")).where("lo < hi and members > 2")
-        .select("band", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).alias("blocks"))
+        at.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.sum("size").alias("total")).where("lo < hi and members > 2")
+        .select("band", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     )
-    rest = written(at.join(open_, "band"), "open")
-    wanted = written(rest.select("node", "id", "digest").distinct(), "open-wanted")
+    rest = written(salted_join(at, open_, ["band"], ["node"]), "open")
+    dropped(buckets)
+    wanted = written(rest.select("node", "id", "mark", "digest").distinct(), "open-wanted")
     sets = written(_sets(docs, wanted, wanted.count(), id_col, text, k, split), "open-sets")
     block = (
-        rest.join(sets, "node").groupBy("band", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+        rest.join(sets, "node").groupBy("band", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
         .agg(F.collect_list(F.struct("node", "comp", "set")).alias("members"))
     )
     block = written(block, "open-blocks")
-    x, y = block.alias("x"), block.alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") <= F.col("y.block"))).select(F.col("x.members").alias("ma"), F.col("y.members").alias("mb"))
+    first = block.select("band", F.col("members").alias("ma"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    met = first.join(block.select("band", "block", F.col("members").alias("mb")), ["band", "block"]).select("ma", "mb")
     with batches_of(docs.sparkSession, 16):
         extra = written(met.mapInArrow(_joins(percent), "a bigint, b bigint").distinct(), "open-links")
+    dropped(rest, wanted, sets, block)
     if extra.isEmpty():
         final = comp
     else:
         final = written(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(extra)), "components")
-    done = classes.join(final, "node", "left").select("node", "digest", "id", F.coalesce("comp", "node").alias("comp"))
+        dropped(comp)
+    dropped(extra)
+    done = written(classes.join(final, "node", "left").select("node", "digest", "id", "n_rows", "comp"), "linked")
+    dropped(classes, final)
     return rows, done
 
 
@@ -329,10 +360,12 @@ def groups(docs: DataFrame, **how) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     has(docs, how.get("id_col", "doc_id"), how.get("text", "text"))
     rows, classes = link_classes(docs, **how)
-    least = classes.groupBy("comp").agg(F.min("id").alias("component_id"))
-    # Only classes that are not their own component need a look-up beyond the digest.
-    named = classes.join(least, "comp").select("digest", "component_id")
-    out = rows.select("id", "n_shingles", "digest").join(named, "digest", "left")
+    linked = classes.where("comp IS NOT NULL").select("digest", "id", "comp", "node")
+    least = linked.groupBy("comp").agg(F.min("id").alias("component_id"))
+    named = salted_join(linked, least, ["comp"], ["node"]).select("digest", "component_id")
+    # A class of one row that is linked with none needs no look-up: its component is its own id.
+    named = named.unionByName(classes.where("comp IS NULL AND n_rows > 1").select("digest", F.col("id").alias("component_id")))
+    out = salted_join(rows.select("id", "n_shingles", "digest", F.monotonically_increasing_id().alias("at")), named, ["digest"], ["at"], "left")
     comp = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
@@ -349,11 +382,13 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **h
     numbered = written(packed(docs, text).withColumn("number", F.monotonically_increasing_id()), "numbered")
     key = F.col("row").getField(id_col).cast("bigint").alias("key")
     rows, classes = link_classes(numbered, id_col="number", text="text", **how)
-    named = rows.select("id", "digest").join(classes.select("digest", "comp"), "digest").join(numbered.select(F.col("number").alias("id"), key), "id")
+    many = classes.where("comp IS NOT NULL OR n_rows > 1").select("digest", F.coalesce("comp", "node").alias("comp"))
+    named = salted_join(rows.select("id", "digest"), many, ["digest"], ["id"]).select("id", "comp").join(numbered.select(F.col("number").alias("id"), key), "id")
+    named = written(named, "named")
     # min ignores nothing here: a null key sorts last.
-    first = named.groupBy("comp").agg(F.min(F.struct(F.col("key").isNull(), "key", "id")).alias("best")).select(F.col("best.id").alias("id"), "comp")
-    gone = named.join(first, "comp").where(named["id"] != first["id"]).select(named["id"].alias("number"))
-    gone = written(gone, "gone")
+    first = named.groupBy("comp").agg(F.min(F.struct(F.col("key").isNull(), "key", "id")).alias("best")).select(F.col("best.id").alias("first"), "comp")
+    gone = written(salted_join(named, first, ["comp"], ["id"]).where("id <> first").select(F.col("id").alias("number")), "gone")
+    dropped(named, rows, classes)
     small = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return unpacked(numbered.join(small, "number", "left_anti"), docs.columns, text)
 

@@ -288,14 +288,32 @@ def test_components_on_chains(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), **dict.fromkeys(range(200, 203), 200)}
 
 
-def test_components_raise_at_the_cap_instead_of_stopping_short(spark):
-    from loomtable.operators import cluster
-
-    chain = [(i, i + 1) for i in range(40)]
-    for find, names in ((neardup.components, "a long, b long"), (cluster.components, "src long, dst long")):
-        with pytest.raises(RuntimeError):
-            find(spark.createDataFrame(chain, names), rounds=1)
-        assert {r[1] for r in find(spark.createDataFrame(chain, names)).collect()} == {0}
+def test_components_run_until_nothing_changes(spark):
+    chain = spark.range(5000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r[1] for r in neardup.components(chain).collect()} == {0}
+
+
+def test_rows_without_ids_are_told_apart(spark):
+    """Many rows that share one id, or have none, and differ in text: joined by id alone they would meet each other."""
+    r = random.Random(11)
+    base = [[f"w{r.randrange(400)}" for _ in range(60)] for _ in range(150)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "other"]) for b in base] + [" ".join(base[0])] * 50
+    for same in (None, 7):
+        got = neardup.groups(docs(spark, [(same, t) for t in texts]), k=3, percent=85, split="space").collect()
+        assert len(got) == len(texts) and {x.component_id for x in got} == {same}
+        kept = neardup.keep_one(docs(spark, [(same, t) for t in texts]), k=3, percent=85, split="space")
+        assert kept.count() == len(base)
+
+
+def test_long_texts_in_pieces():
+    r = np.random.default_rng(12)
+    raw = np.frombuffer((" ".join(f"w{x}" for x in r.integers(0, 900, 4000)) + " é" + "z" * 9000 + " end").encode(), dtype=np.uint8)
+    for letters in (neardup.K.SPACED, neardup.K.ALNUM):
+        grams, bounds = neardup.shingles(neardup.K.Words(np.array([0, len(raw)]), raw, letters), 5)
+        pieces = neardup.long_shingles(raw, letters, 5, size=777)
+        assert (pieces == grams).all()
+        assert (neardup.merged_minima(pieces, 100) == neardup.minima(grams, bounds)).all()
+    assert len(neardup.long_shingles(raw[:3], neardup.K.SPACED, 5)) == 1 and len(neardup.long_shingles(raw[:0], neardup.K.SPACED, 5)) == 0
 
 
 # --- secrets ------------------------------------------------------------------------------
