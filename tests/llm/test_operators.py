@@ -86,6 +86,72 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, rows).limit(0)).count() == 0
 
 
+def plain_spans(w):
+    """Base places, and per notice the best share of its words that stand in order in a stretch of the text: by common subsequences of grams over all starts."""
+    base, best = [], {}
+    for t in licenses.TEMPLATES:
+        own, k = t.text.split(), t.gram
+        if t.base:
+            base += [(i, t.label) for i in range(len(w)) if w[i : i + len(own)] == own]
+            continue
+        of = [tuple(own[j : j + k]) for j in range(len(own) - k + 1)]
+        mine = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+        must = of[licenses._place(t)]
+        for p in range(len(mine)):
+            if mine[p] not in of:
+                continue
+            part = mine[p : p + len(of) + 4]
+            cells = {(-1, j): [] for j in range(-1, len(of))} | {(i, -1): [] for i in range(len(part))}
+            for i, g in enumerate(part):
+                for j, h in enumerate(of):
+                    cells[i, j] = cells[i - 1, j - 1] + [j] if g == h else max(cells[i - 1, j], cells[i, j - 1], key=len)
+            got = cells[len(part) - 1, len(of) - 1]
+            if must in [of[j] for j in got]:
+                share = len({j + x for j in got for x in range(k)}) / len(own)
+                best[t] = max(best.get(t, 0), share)
+    labels = {x for _, x in base} | {t.label for t, s in best.items() if s >= (1 if t.size < licenses.SHORT else licenses.COVER)}
+    return base, labels
+
+
+def test_licenses_against_a_plain_scan(spark):
+    r = random.Random(13)
+    noise = lambda n: [r.choice(["the", "of", "license", "public", "software", "mit", "apache", "general", "rights", "a", "b", "c"]) for _ in range(n)]
+    rows = []
+    for n in range(90):
+        w = noise(r.randint(0, 25))
+        if n % 3:
+            t = r.choice([t for t in licenses.TEMPLATES if t.size < 40]).text.split()
+            for _ in range(r.choice([0, 0, 1, 2])):
+                at = r.randrange(len(t))
+                t = r.choice([t[:at] + ["odd"] + t[at:], t[:at] + t[at + 1 :], t[:at] + ["odd"] + t[at + 1 :]])
+            w += t + noise(r.randint(0, 25))
+        rows.append((n, " ".join(w)))
+    rows += [(100, rows[1][1]), (100, rows[1][1])]
+    got = {}
+    for x in licenses.scan(docs(spark, rows)).collect():
+        got.setdefault(x.doc_id, []).append(tuple(x)[1:])
+    for d, t in rows:
+        base, labels = plain_spans(t.split())
+        at = [i for i, _ in base]
+        for x in got[d]:
+            assert x[:6] == (len(t.split()), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({b for _, b in base})), ",".join(sorted(labels)))
+    assert len(got[100]) == 2
+
+
+def test_licenses_want_the_words_in_order(spark):
+    mit = next(t for t in licenses.TEMPLATES if t.label == "mit" and t.size > 100).text.split()
+    pairs = [x for i in range(len(mit) - 1, 0, -2) for x in mit[i - 1 : i + 1]]
+    apart = " ".join(" ".join([*mit[i : i + 3], *["x"] * 9]) for i in range(0, len(mit), 3))
+    body = [*mit[:50], "really", *mit[50:90], *mit[92:]]
+    rows = [(1, " ".join(pairs)), (2, "the rights reserved to us"), (3, apart), (4, " ".join(body)), (5, "All Rights, reserved!"), (6, "licensed under CC BY-NC 4.0.")]
+    got = {x.doc_id: (x.labels, x.score) for x in licenses.scan(docs(spark, rows)).collect()}
+    assert [got[i][0] for i in (1, 2, 3, 5, 6)] == ["", "", "", "reserved", "cc-by-nc"] and got[4][0] == "mit" and got[4][1] > 0.95
+    own = [licenses.Template("house", "Our own words of ten, or more, stand here now", False)]
+    assert [x.labels for x in licenses.scan(docs(spark, [(1, "see: our own words of ten or more stand here now.")]), templates=own).collect()] == ["house"]
+    with pytest.raises(ValueError):
+        licenses.checked([licenses.Template("x", "one")])
+
+
 # --- URLs -----------------------------------------------------------------------
 
 
@@ -113,6 +179,28 @@ def test_url_conflict_blocks(spark):
     assert urlfilter.judge(spark.createDataFrame([(1, "http://a.b/x")], "page_id bigint, url string"), rules).first().verdict == "block"
 
 
+def test_url_filter_in_the_row(spark):
+    """No listed key is missed, few others pass, and a filter far too small changes no result."""
+    keys = [f"h{i}.example/p{i % 7}/é" for i in range(3000)]
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    raw = urlfilter.packed_filter(df, len(keys))
+    words_ = memoryview(raw).cast("Q")
+    assert len(raw) == -(-3000 * 16 // 512) * 64 and all(urlfilter.passes(words_, k) for k in keys)
+    assert sum(urlfilter.passes(words_, f"other{i}") for i in range(20_000)) < 200
+    rules = spark.createDataFrame([(f"h{i}.org", "/" * (i % 40) + "x", "block") for i in range(400)] + [("q" * 300, "/", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(i, f"http://a.b.h{i}.org/{'/' * (i % 50)}x/y") for i in range(600)] + [(1000, "http://" + "a." * 20_000 + "h3.org///x"), (1001, "http://" + "q" * 300 + "/" + "z" * 100_000)], "page_id bigint, url string")
+    want = {x.page_id: (x.rule, x.verdict) for x in urlfilter.judge(pages, rules).collect()}
+    tiny = {x.page_id: (x.rule, x.verdict) for x in urlfilter.judge(pages, rules, max_filter=64).collect()}
+    assert want == tiny and len(want) == 602
+    assert {i for i, v in want.items() if v[1] == "block"} == {i for i in range(400) if i % 50 + 1 == i % 40} | {1000, 1001}
+
+
+def test_listed_urls_in_canonical_form(spark):
+    df = spark.createDataFrame([("HTTP://me:pw@Example.COM.:80/%7Euser/a%2Fb?x#y",), ("https://a.b",), ("https://a.b:8080/%41",)], "url string")
+    host, path = urlfilter.canonical(F.col("url"))
+    assert [tuple(x) for x in df.select(host, path).collect()] == [("example.com", "/~user/a%2Fb"), ("a.b", "/"), ("a.b:8080", "/A")]
+
+
 # --- decontamination ----------------------------------------------------------------
 
 
