@@ -3,14 +3,18 @@
 Listed URLs are rules (host, path, verdict): a rule fits its host and all
 subdomains if the path starts with the rule's; the longest rule wins.  For a
 URL every (host suffix, path prefix of a listed length) is a possible key.  A
-blocked Bloom filter (each key sets one bit in each of the eight 64-bit words
-of one block) passes possible hits; an exact join on host and path removes the
-false positives.
-
-All of it is SQL functions.  Filter and rules are broadcast only up to
-``BROADCAST_RULES`` rules (counted first: under 100 MB of filter blocks and
-keys); beyond, both joins are shuffle joins with the larger side salted, so a
-host that holds a third of all URLs is spread out.
+blocked Bloom filter of the listed hosts and URLs (each key sets one bit in
+each of the eight 64-bit words of one block) is tested in the row itself: first
+the host suffix, so URLs of hosts that are not listed end there, then its path
+prefixes.  Only keys that pass are rows of the exact join on host and path,
+which removes false positives; URLs without such a key are never shuffled.
+
+The filter is a packed array of ``BITS_PER_KEY`` bits a key, sent to all
+executors; from ``MAX_FILTER`` bytes on it stays at that size, so it passes
+more false positives, which the join removes: results never depend on it.
+Rules are broadcast to the join only up to ``BROADCAST_RULES`` (counted first:
+under 100 MB); beyond, the join is a shuffle join of the keys that passed, salted,
+so a host that holds a third of all URLs is spread out.
 
 Defined results: a null URL or one without ``://`` has an empty host and path;
 no rule fits an empty host.  Without a fitting rule the verdict is the
@@ -21,14 +25,19 @@ out; with no rules every verdict is the method's.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomtable.llm._shared import ascii_lower, has, table
+from loomtable.llm._shared import ascii_lower, has, salted_join, table, written
 
-BITS_PER_RULE = 16
+BITS_PER_KEY, BLOCK_BITS = 16, 512
+MAX_FILTER = 32 << 20
 BROADCAST_RULES = 500_000
 SALTS = 16
 
@@ -43,54 +52,89 @@ def path_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
-def _bits(key: Column) -> list[Column]:
-    return [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(key, F.lit(i)), F.lit(64)).cast("int")) for i in range(8)]
+def canonical(url: Column) -> tuple[Column, Column]:
+    """Host and path of a URL to be listed, in canonical form: without user, default port and the root's dot; unreserved characters without percent escapes; an empty path is ``/``."""
+    host = F.regexp_replace(F.regexp_replace(host_of(url), r"^.*@", ""), r"\.?(:(80|443)?)?$", "")
+    plain = path_of(url)
+    for c in "-._~0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+        plain = F.regexp_replace(plain, f"(?i)%{ord(c):02x}", c)
+    return host, F.when((plain == "") & (host != ""), "/").otherwise(plain)
 
 
-def bloom(keys: DataFrame, n_blocks: int) -> DataFrame:
-    """block, w0..w7 from keys (host, path)."""
-    key = F.xxhash64("host", "path")
-    marked = keys.select(F.pmod(key, F.lit(n_blocks)).alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(_bits(key))])
+def blocks_of(keys: DataFrame, n_blocks: int) -> DataFrame:
+    """block, w0..w7 from keys (key): partial ORs, so a few numbers per block are shuffled."""
+    h, g = F.xxhash64("key"), F.xxhash64(F.concat("key", F.lit("\0")))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(g, 6 * i).bitwiseAND(63).cast("int")).alias(f"w{i}") for i in range(8)]
+    marked = keys.select(F.pmod(h, F.lit(n_blocks)).alias("block"), *bits)
     return marked.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)])
 
 
-def _joined(left: DataFrame, right: DataFrame, on: list[str], small: bool) -> DataFrame:
-    """Left join; the right side goes to all executors if small, else the left is salted and the right repeated once per salt."""
-    if small:
-        return left.join(F.broadcast(right), on, "left")
-    left = left.withColumn("salt", F.pmod(F.xxhash64("number", "suffix"), F.lit(SALTS)).cast("int"))
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [*on, "salt"], "left").drop("salt")
+def packed_filter(keys: DataFrame, n_keys: int, max_bytes: int = MAX_FILTER) -> bytes:
+    """The filter's 64-bit words in order: at most ``max_bytes``."""
+    n_blocks = max(1, min(-(-n_keys * BITS_PER_KEY // BLOCK_BITS), max_bytes * 8 // BLOCK_BITS))
+    words = np.zeros((n_blocks, 8), dtype=np.int64)
+    rows = blocks_of(keys, n_blocks).toArrow()
+    if rows.num_rows:
+        words[rows.column("block").to_numpy()] = np.stack([rows.column(f"w{i}").to_numpy() for i in range(8)], axis=1)
+    return words.tobytes()
+
+
+def passes(words: memoryview, key: str) -> bool:
+    """Whether the filter may hold the key.  The hash is the one of Spark's ``xxhash64``."""
+    raw = key.encode()
+    h, g = xxhash.xxh64_intdigest(raw, 42), xxhash.xxh64_intdigest(raw + b"\0", 42)
+    at = ((h - (1 << 64) if h >> 63 else h) % (len(words) // 8)) * 8
+    return all(words[at + i] >> ((g >> 6 * i) & 63) & 1 for i in range(8))
+
+
+def _suffixes(host: str, most: int) -> Iterator[str]:
+    """The host and the hosts it is below, of at most ``most`` characters."""
+    at = 0
+    while at >= 0:
+        if 0 < len(host) - at <= most:
+            yield host[at:]
+        at = host.find(".", at) + 1 or -1
 
 
-def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url: str = "url", default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url: str = "url", default: str = "allow", broadcast_rules: int = BROADCAST_RULES, max_filter: int = MAX_FILTER) -> DataFrame:
     """Per row of ``pages``: page_id, host, path, rule, verdict."""
     has(pages, id_col, url)
     has(rules, "host", "path", "verdict")
+    spark = pages.sparkSession
     rules = rules.where("host IS NOT NULL AND verdict IS NOT NULL").select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     rules = rules.where("host <> ''").groupBy("host", "path").agg(F.max("verdict").alias("ruling"))
-    n_rules, longest = rules.agg(F.count("*"), F.collect_set(F.length("path"))).first()  # path lengths: at most a few thousand numbers
-    small = n_rules <= broadcast_rules
-    n_blocks = max(1, -(-n_rules * BITS_PER_RULE // 512))
+    n_rules, longest, sizes = rules.agg(F.count("*"), F.max(F.length("host")), F.collect_set(F.length("path"))).first()  # path lengths: at most a few thousand numbers
+    # A listed host is a key of its own, marked by a line break, which no host of a rule's URL can begin with.
+    keys = rules.select(F.concat("host", "path").alias("key")).union(rules.select(F.concat(F.lit("\n"), "host").alias("key")))
+    shared = spark.sparkContext.broadcast((packed_filter(keys, 2 * n_rules, max_filter), longest or 0, sorted(sizes)))
     u = F.col(f"`{url}`").cast("string")
-    # Keeps the row number apart from any column of the input.
-    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.coalesce(host_of(u), F.lit("")).alias("host"), F.coalesce(path_of(u), F.lit("")).alias("path")).withColumn("number", F.monotonically_increasing_id())
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    heads = F.filter(F.transform(F.array(*[F.lit(n).cast("int") for n in sorted(longest)]) if longest else F.array().cast("array<int>"), lambda n: F.when(F.length("path") >= n, F.col("path").substr(F.lit(1), n))), lambda p: p.isNotNull())
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda p: F.struct(s.alias("suffix"), p.alias("head")))))
-    # One key that is always there keeps every row through both joins.
-    keys = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("suffix"), F.lit(None).cast("string").alias("head"))), keys)
-    seen = rows.withColumn("key", F.explode(keys)).select("number", "page_id", "host", "path", "key.suffix", "key.head")
-    hashed = F.xxhash64("suffix", "head")
-    passed = _joined(seen.withColumn("block", F.pmod(hashed, F.lit(n_blocks))), bloom(rules, n_blocks), ["block"], small)
-    possible = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(b) != 0 for i, b in enumerate(_bits(hashed))])
-    passed = passed.where(F.col("suffix").isNull() | possible).select("number", "page_id", "host", "path", "suffix", "head")
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.coalesce(host_of(u), F.lit("")).alias("host"), F.coalesce(path_of(u), F.lit("")).alias("path"))
+    key = T.StructType([T.StructField("suffix", T.StringType()), T.StructField("head", T.StringType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("possible", T.ArrayType(key))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, most, lengths = shared.value
+        words = memoryview(raw).cast("Q")
+        out = pa.list_(pa.struct([("suffix", pa.string()), ("head", pa.string())]))
+        for batch in batches:
+            found = []
+            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                hosts = [s for s in _suffixes(host, most) if passes(words, "\n" + s)]
+                found.append([{"suffix": s, "head": path[:n]} for s in hosts for n in lengths if n <= len(path) and passes(words, s + path[:n])])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, out)], names=schema.names)
+
+    # Written once: the numbers mean the same rows in both branches below.
+    seen = written(rows.mapInArrow(run, schema).withColumn("number", F.monotonically_increasing_id()), "urls")
+    none = seen.where("size(possible) = 0").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    passed = seen.where("size(possible) > 0").select("number", "page_id", "host", "path", F.explode("possible").alias("key")).select("number", "page_id", "host", "path", "key.suffix", "key.head")
     exact = rules.select(F.col("host").alias("suffix"), F.col("path").alias("head"), "ruling")
-    hit = _joined(passed, exact, ["suffix", "head"], small)
+    if n_rules <= broadcast_rules:
+        hit = passed.join(F.broadcast(exact), ["suffix", "head"], "left")
+    else:
+        hit = salted_join(passed, exact, ["suffix", "head"], ["number"], "left", SALTS)
     size = F.when(F.col("ruling").isNotNull(), F.struct(F.length("suffix") + F.length("head"), F.length("suffix"), F.concat("suffix", "head").alias("rule"), F.col("ruling")))
-    best = hit.groupBy("number").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(size).alias("best"))
-    return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.ruling", F.lit(default)).alias("verdict"))
+    best = hit.groupBy("number").agg(F.max(F.struct("page_id", "host", "path")).alias("page"), F.max(size).alias("best"))
+    return none.unionByName(best.select("page.page_id", "page.host", "page.path", F.col("best.rule").alias("rule"), F.coalesce("best.ruling", F.lit(default)).alias("verdict")))
 
 
 #: The list of the query: (host, path, verdict).
