@@ -2,9 +2,11 @@
 
 A hash set of all normalised benchmark windows goes to every task; each task
 scans the token windows of its texts against it, verifies every hit by the
-words themselves, and marks the words inside.  One pass, no shuffle.
+words themselves, and marks the words inside.  One pass, no shuffle.  Equal
+windows are one entry with the list of their items, so a word that repeats a
+thousand times, or a window that many items share, is compared once per place.
 
-The set is broadcast only up to ``max_words`` benchmark words (about 90 bytes
+The set is broadcast only up to ``max_words`` benchmark words (about 150 bytes
 each).  A larger benchmark is dealt into blocks of that size, and the texts
 pass the blocks one after another, with a written table between them, so
 memory stays bounded at any benchmark size and nothing is left out.
@@ -35,57 +37,74 @@ MAX_WORDS = 1_000_000
 
 
 def window_set(items: list[tuple[str, str]], window: int = WINDOW) -> dict:
-    """Sorted window hashes by window length, with each window's bytes and item, for one block of the benchmark."""
+    """Distinct windows of one block of the benchmark, by length: sorted hashes, a place of each window's words, and the items that hold it."""
     w = K.words_of([t for _, t in items])
     h = w.hashes()
-    by: dict[int, tuple[list, list, list]] = {}
     grams, at = w.grams(h, window)
     counts = w.counts()
-    text_of = np.searchsorted(w.first, at, side="right") - 1
-    for size, hashes, firsts, texts in [(window, grams, at, text_of)] + [
-        (int(counts[d]), np.array([w.whole(h, d)], dtype=np.uint64), np.array([w.first[d]]), np.array([d])) for d in np.flatnonzero((counts > 0) & (counts < window))
-    ]:
-        out = by.setdefault(size, ([], [], []))
-        out[0].append(hashes)
-        out[1].append(firsts)
-        out[2].append(texts)
-    done = {}
-    for size, parts in by.items():
-        hashes, firsts, texts = (np.concatenate(p) for p in parts)
-        order = np.argsort(hashes, kind="stable")
-        done[size] = (hashes[order], firsts[order].astype(np.int64), texts[order].astype(np.int32))
-    # A map of 2^20 bits of low hash bits turns most windows away before the search.
-    maps = {}
-    for size, (hashes, _, _) in done.items():
+    parts = [(window, grams, at, np.searchsorted(w.first, at, side="right") - 1)]
+    parts += [(int(counts[d]), np.array([w.whole(h, d)], dtype=np.uint64), np.array([w.first[d]]), np.array([d])) for d in np.flatnonzero((counts > 0) & (counts < window))]
+    by: dict[int, dict[bytes, tuple[int, int, set]]] = {}
+    for size, hashes, firsts, texts in parts:
+        seen = by.setdefault(size, {})
+        for g, first, text in zip(hashes.tolist(), firsts.tolist(), texts.tolist(), strict=True):
+            seen.setdefault(w.text(first, first + size), (g, first, set()))[2].add(items[text][0])
+    windows = {}
+    for size, seen in by.items():
+        rows = sorted(seen.values(), key=lambda r: r[:2])
+        hashes = np.array([r[0] for r in rows], dtype=np.uint64)
+        # A map of 2^20 bits of low hash bits turns most windows away before the search.
         bits = np.zeros(1 << 20, dtype=bool)
         bits[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        maps[size] = np.packbits(bits)
-    return {"windows": done, "maps": maps, "bytes": w.bytes, "start": w.start, "end": w.end, "ids": [i for i, _ in items]}
-
-
-def _same(w: K.Words, at: int, known: dict, first: int, size: int) -> bool:
-    a, b = known["start"], known["end"]
-    mine = [w.bytes[s:e].tobytes() for s, e in zip(w.start[at : at + size].tolist(), w.end[at : at + size].tolist(), strict=True)]
-    theirs = [known["bytes"][s:e].tobytes() for s, e in zip(a[first : first + size].tolist(), b[first : first + size].tolist(), strict=True)]
-    return mine == theirs
+        windows[size] = (hashes, np.array([r[1] for r in rows], dtype=np.int64), [sorted(r[2]) for r in rows], np.packbits(bits))
+    return {"windows": windows, "bytes": w.bytes, "start": w.start, "end": w.end}
+
+
+def _same(w: K.Words, at: np.ndarray, known: dict, first: np.ndarray, size: int, step: int = 1 << 16) -> np.ndarray:
+    """Whether ``size`` words from each place ``at`` are, byte by byte, those from the benchmark's place ``first``."""
+    out = np.zeros(len(at), dtype=bool)
+    each = np.arange(size)
+    for lo in range(0, len(at), step):
+        a, b = at[lo : lo + step, None] + each, first[lo : lo + step, None] + each
+        length = w.end[a] - w.start[a]
+        fits = np.flatnonzero((length == known["end"][b] - known["start"][b]).all(axis=1))
+        if not len(fits):
+            continue
+        n = length[fits].reshape(-1)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        same = w.bytes[np.repeat(w.start[a[fits]].reshape(-1), n) + inner] == known["bytes"][np.repeat(known["start"][b[fits]].reshape(-1), n) + inner]
+        total = length[fits].sum(axis=1)
+        out[lo + fits] = np.logical_and.reduceat(same, np.cumsum(total) - total)
+    return out
 
 
-def hits(w: K.Words, known: dict) -> list[tuple[int, int, int]]:
-    """Verified (word, window length, item number) over some texts."""
-    found = []
+def hits(w: K.Words, known: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per window length the verified words where a window stands, and the window's number."""
     h = w.hashes()
-    for size, (hashes, firsts, texts) in known["windows"].items():
+    for size, (hashes, firsts, _, bits) in known["windows"].items():
         grams, at = w.grams(h, size)
         if not len(hashes) or not len(grams):
             continue
         low = (grams & np.uint64((1 << 20) - 1)).astype(np.int64)
-        maybe = np.flatnonzero(known["maps"][size][low >> 3] & (128 >> (low & 7)).astype(np.uint8))
+        maybe = np.flatnonzero(bits[low >> 3] & (128 >> (low & 7)).astype(np.uint8))
         lo, hi = np.searchsorted(hashes, grams[maybe], "left"), np.searchsorted(hashes, grams[maybe], "right")
-        for i, a, b in zip(maybe[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-            for j in range(a, b):
-                if _same(w, int(at[i]), known, int(firsts[j]), size):
-                    found.append((int(at[i]), size, int(texts[j])))
-    return found
+        # Windows are distinct, so more than one has a hash only where hashes collide.
+        n = hi - lo
+        place = np.repeat(at[maybe], n)
+        window = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        good = _same(w, place, known, firsts[window], size)
+        yield size, place[good], window[good]
+
+
+def _merged(marks: list[tuple[np.ndarray, np.ndarray]], first: int, last: int) -> list[int]:
+    """Flat [first, end) ranges, counted from ``first``, of the words under any of the marks (starts, ends)."""
+    step = np.zeros(last - first + 1, dtype=np.int64)
+    for starts, ends in marks:
+        np.add.at(step, starts - first, 1)
+        np.add.at(step, ends - first, -1)
+    inside = np.concatenate([[False], np.cumsum(step) > 0])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges.tolist()
 
 
 def _scan(batches: Iterator[pa.RecordBatch], shared, schema: pa.Schema, clean: bool) -> Iterator[pa.RecordBatch]:
@@ -101,24 +120,23 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, schema: pa.Schema, clean: b
         for lo, hi in K.chunks(offsets):
             w = K.Words(offsets[lo : hi + 1], raw)
             n_words.append(w.counts())
-            of: dict[int, list] = {}
-            for at, size, item in hits(w, known):
-                of.setdefault(int(np.searchsorted(w.first, at, side="right")) - 1, []).append((at, size, item))
+            marks: dict[int, list] = {}
+            names: dict[int, set] = {}
+            for size, place, window in hits(w, known):
+                text_of = np.searchsorted(w.first, place, side="right") - 1
+                for d in np.unique(text_of).tolist():
+                    mine = slice(*np.searchsorted(text_of, [d, d + 1]))
+                    marks.setdefault(d, []).append((place[mine], place[mine] + size))
+                    names.setdefault(d, set()).update(x for k in np.unique(window[mine]).tolist() for x in known["windows"][size][2][k])
             for d in range(hi - lo):
-                got = {(int(s), int(e)) for s, e in zip((old_spans[lo + d] or [])[::2], (old_spans[lo + d] or [])[1::2], strict=True)}
-                names = set(old_items[lo + d] or [])
-                first = int(w.first[d])
-                for at, size, item in of.get(d, ()):
-                    got.add((at - first, at - first + size))
-                    names.add(known["ids"][item])
-                merged: list[list[int]] = []
-                for s, e in sorted(got):
-                    if merged and s <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    else:
-                        merged.append([s, e])
-                spans.append([x for m in merged for x in m])
-                items.append(sorted(names))
+                first, last = int(w.first[d]), int(w.first[d + 1])
+                if old_spans[lo + d]:
+                    old = np.array(old_spans[lo + d], dtype=np.int64) + first
+                    marks.setdefault(d, []).append((old[::2], old[1::2]))
+                flat = _merged(marks[d], first, last) if d in marks else []
+                merged = list(zip(flat[::2], flat[1::2], strict=True))
+                spans.append(flat)
+                items.append(sorted(names.get(d, set()) | set(old_items[lo + d] or ())))
                 if clean and merged:
                     body = raw[int(offsets[lo + d]) : int(offsets[lo + d + 1])].tobytes()
                     base = int(w.bounds[d])

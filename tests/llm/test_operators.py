@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -239,6 +240,17 @@ def test_decontamination(spark):
     assert decontam.report(docs(spark, rows).limit(0), bench).count() == 0
 
 
+def test_decontamination_of_repeated_words(spark):
+    """One word over and over, and a window that every item has: work grows with the places, not with places times windows or items."""
+    items = [(i, "same " * 400 + f"own{i}") for i in range(300)]
+    rows = [(1, "same " * 60_000), (2, "same " * 7), (3, "same " * 8 + "x " + "same " * 9 + "own7")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    began = time.perf_counter()
+    got = {x.doc_id: tuple(x)[1:4] for x in decontam.report(docs(spark, rows), bench).collect()}
+    assert got == {1: (60_000, 60_000, 300), 2: (7, 0, 0), 3: (19, 18, 300)}
+    assert time.perf_counter() - began < 60
+
+
 def test_decontamination_cuts_spans(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id bigint, text string")
     df = docs(spark, [(1, "Before, ONE two three-four five six seven eight! After."), (2, "Clean."), (3, None)])
