@@ -1,33 +1,38 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-Vectors are cut in two halves; a codebook of ``CODES`` centroids per half is
-fitted (k-means) on at most ``MAX_SAMPLE`` vectors, taken by smallest hash;
-every vector is then indexed by its pair of nearest centroids.  A query walks
-the pairs in order of summed distance with a heap until the pairs it has seen
-hold ``candidates`` vectors and a ``share`` of all, and those are reranked by
-exact distance on the original vectors.  The share that a recall needs is a
-property of the vectors: near-isotropic ones, as the test tables hold, need
-0.4 for 0.9; vectors with real clusters do with ``share=0``.
+Vectors are cut in two halves; a codebook per half is fitted (k-means) on at
+most ``MAX_SAMPLE`` vectors, taken by smallest hash; every vector is then
+indexed by its pair of nearest centroids.  A codebook has about as many
+centroids as the square root of the vectors' number, between ``CODES``' bounds.
+A query walks the pairs in order of summed distance with a heap until the pairs
+it has seen hold ``candidates`` vectors and a ``share`` of all, and those are
+reranked by exact distance on the original vectors.  The share that a recall
+needs is a property of the vectors, and falls with finer codebooks: the default,
+``0.33 + 11 / centroids``, is for near-isotropic ones, as the test tables hold,
+at a recall of 0.9 or more; vectors with real clusters do with ``share=0``.
 
 Of equal vectors only the k + 1 smallest ids can be among anybody's k nearest
 (ties go to smaller ids, a query leaves itself out), so only those are
 indexed: exact, and a vector that a third of all rows share costs nothing.
 The cells of one first-half centroid are dealt into blocks of ``BLOCK`` vectors,
-and the queries that visit some of them into blocks of ``QUERY_BLOCK``; a pair
-of blocks is one row, so no task holds a whole cell and queries are never
-broadcast.  Cell sizes (CODES^2 numbers at most)
-and codebooks are.
+and the queries that visit some of them into blocks of ``QUERY_BLOCK``; pairs of
+blocks are dealt by (centroid, block of vectors), so there are as many keys as
+blocks of vectors.  A task keeps the k best of each query over all its pairs,
+and queries are never broadcast.  Cell sizes (centroids squared numbers, 65,536
+at most) and codebooks are.
 
 Defined results: vectors that are null, empty, zero, or hold null or
 non-finite components take no part; nor do those whose length is not the
 commonest (the smaller on a tie).  Rows repeated whole count once; rows of one
-id with different vectors are separate candidates and queries of that id share
-one list.  With fewer than k candidates all are returned.
+id with different vectors are separate candidates, of which the nearest counts,
+and queries of that id share one list.  With fewer than k candidates all are
+returned.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +43,13 @@ from pyspark.sql import functions as F
 from loomtable.llm._shared import has, table, written
 
 K_NEAREST = 10
-CODES = 64
+#: Fewest and most centroids of a half.
+CODES = (32, 256)
 MAX_SAMPLE = 10_000
-CANDIDATES = 4000
-SHARE = 0.46
+CANDIDATES = 100
 BLOCK, QUERY_BLOCK = 1024, 64
+#: Results that a task holds before it keeps the best of each query.
+HELD = 1_000_000
 ITERATIONS = 12
 
 
@@ -66,25 +73,40 @@ def codebook(x: np.ndarray, codes: int, seed: int = 5) -> np.ndarray:
     return centres
 
 
-def walk(da: np.ndarray, db: np.ndarray, sizes: dict[int, int], wanted: int) -> list[int]:
-    """Cells in order of da[i] + db[j] until they hold the wanted number: the multi-sequence algorithm."""
-    oa, ob = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
+def walk(da: np.ndarray, db: np.ndarray, sizes: list[int], wanted: int) -> list[int]:
+    """Cells with vectors in order of da[i] + db[j] until they hold the wanted number: a heap holds the next pair of each centroid i that has begun."""
+    oa, ob = np.argsort(da, kind="stable").tolist(), np.argsort(db, kind="stable").tolist()
     a, b = da[oa].tolist(), db[ob].tolist()
-    n = len(b)
-    heap, queued, out, held = [(a[0] + b[0], 0, 0)], {(0, 0)}, [], 0
+    n, last, out, held = len(b), len(a) - 1, [], 0
+    heap = [(a[0] + b[0], 0, 0)]
     while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        cell = int(oa[i]) * n + int(ob[j])
-        if sizes.get(cell):
+        _, i, j = heap[0]
+        cell = oa[i] * n + ob[j]
+        if sizes[cell]:
             out.append(cell)
             held += sizes[cell]
-        for p, q in ((i + 1, j), (i, j + 1)):
-            if p < len(a) and q < n and (p, q) not in queued:
-                queued.add((p, q))
-                heapq.heappush(heap, (a[p] + b[q], p, q))
+        if j + 1 < n:
+            heapq.heapreplace(heap, (a[i] + b[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if j == 0 and i < last:  # the next centroid begins no earlier than this one
+            heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
     return out
 
 
+def best_of(query: np.ndarray, vid: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each query, each id once, ties to smaller ids."""
+    order = np.lexsort((d, vid, query))
+    query, vid, d = query[order], vid[order], d[order]
+    once = np.ones(len(query), bool)
+    once[1:] = (query[1:] != query[:-1]) | (vid[1:] != vid[:-1])
+    query, vid, d = query[once], vid[once], d[once]
+    order = np.lexsort((vid, d, query))
+    query, vid, d = query[order], vid[order], d[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[rank < k], vid[rank < k], d[rank < k]
+
+
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     """vec_id and v (array of double) of the vectors that take part."""
     rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
@@ -99,23 +121,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", k: int = K_NEAREST, codes: int = CODES, candidates: int = CANDIDATES, share: float = SHARE, max_sample: int = MAX_SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", k: int = K_NEAREST, codes: int | None = None, candidates: int = CANDIDATES, share: float | None = None, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """Per query and rank: query_id, rank, vec_id, score (Euclidean distance)."""
     has(vectors, id_col, vector)
     has(queries, id_col, vector)
     spark = vectors.sparkSession
     rows = written(usable(vectors, id_col, vector), "vectors")
-    asked = usable(queries, id_col, vector).distinct()
+    asked = written(usable(queries, id_col, vector).distinct(), "queries")
     same = Window.partitionBy("v").orderBy("vec_id")
     indexed = rows.withColumn("copy", F.dense_rank().over(same)).where(F.col("copy") <= k + 1).groupBy("v", "vec_id").agg(F.lit(1))
     indexed = indexed.select("vec_id", "v")
     sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(max_sample).collect()
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
     if not sample:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    codes = codes or min(CODES[1], max(CODES[0], round(math.sqrt(rows.count()))))
     x = np.array([r["v"] for r in sample])
     half = x.shape[1] // 2
     books = spark.sparkContext.broadcast((codebook(x[:, :half], codes), codebook(x[:, half:], codes)))
+    width = len(books.value[1])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = books.value
@@ -126,16 +149,19 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell, pa.int64())], names=["vec_id", "v", "cell"])
 
     cells = written(indexed.mapInArrow(assign, "vec_id bigint, v array<double>, cell bigint"), "index")
-    sizes = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}  # codes^2 rows at most
+    sizes = [0] * (len(books.value[0]) * width)
+    for r in cells.groupBy("cell").count().collect():  # centroids squared rows at most
+        sizes[r["cell"]] = r["count"]
     held = spark.sparkContext.broadcast(sizes)
-    width = len(books.value[1])
-    enough = max(candidates, int(share * sum(sizes.values())))
+    share = 0.33 + 11 / codes if share is None else share
+    enough = max(candidates, math.ceil(share * sum(sizes)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = books.value
         for batch in batches:
-            if batch.num_rows:
-                m = _matrix(batch.column("v"))
+            for lo in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(lo, QUERY_BLOCK)
+                m = _matrix(part.column("v"))
                 da, db = _nearest(m[:, :half], one)[1], _nearest(m[:, half:], two)[1]
                 at, codes_, others = [], [], []
                 for i, (p, q) in enumerate(zip(da, db, strict=True)):
@@ -146,47 +172,56 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
                     codes_ += by.keys()
                     others += by.values()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id").take(pa.array(at, pa.int64())), batch.column("v").take(pa.array(at, pa.int64())), pa.array(codes_, pa.int32()), pa.array(others, pa.list_(pa.int32()))],
+                    [part.column("vec_id").take(pa.array(at, pa.int64())), part.column("v").take(pa.array(at, pa.int64())), pa.array(codes_, pa.int32()), pa.array(others, pa.list_(pa.int32()))],
                     names=["query_id", "q", "code", "others"],
                 )
 
-    routed = asked.mapInArrow(route, "query_id bigint, q array<double>, code int, others array<int>")
-    many: dict[int, int] = {}
-    for c, n in sizes.items():
-        many[c // width] = many.get(c // width, 0) + n
-    blocks_of = F.create_map(*[F.lit(v) for c, n in sorted(many.items()) for v in (c, -(-n // BLOCK))])
+    routed = asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK)), "vec_id").mapInArrow(route, "query_id bigint, q array<double>, code int, others array<int>")
+    many = [sum(sizes[c * width : (c + 1) * width]) for c in range(len(books.value[0]))]
+    blocks_of = F.create_map(*[F.lit(v) for c, n in enumerate(many) for v in (c, max(1, -(-n // BLOCK)))])
     code = F.floor(F.col("cell") / width).cast("int")
     blocks = (
         cells.select(code.alias("code"), F.pmod("cell", F.lit(width)).cast("int").alias("other"), "vec_id", "v")
-        .groupBy("code", F.pmod(F.xxhash64("vec_id"), blocks_of[F.col("code")]).alias("block")).agg(F.collect_list(F.struct("vec_id", "v", "other")).alias("rows"))
+        .groupBy("code", F.pmod(F.xxhash64("vec_id"), blocks_of[F.col("code")]).cast("int").alias("block")).agg(F.collect_list(F.struct("vec_id", "v", "other")).alias("rows"))
     )
     # A query block holds about QUERY_BLOCK queries, however many come: their number is counted.
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
     asking = routed.groupBy("code", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("query_id", "q", "others")).alias("asked"))
+    asking = asking.select("code", "asked", F.explode(F.sequence(F.lit(0), blocks_of[F.col("code")] - 1)).alias("block"))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple] = []
+        total = 0
+
+        def kept() -> tuple:
+            return best_of(*(np.concatenate(c) for c in zip(*got, strict=True)), k)
+
         for batch in batches:
-            got: list[list[np.ndarray]] = [[], [], []]
             for i in range(batch.num_rows):
                 a, r = batch.column("asked")[i].values, batch.column("rows")[i].values
                 qid, vid, other = a.field("query_id").to_numpy(), r.field("vec_id").to_numpy(), r.field("other").to_numpy()
                 q, v, lists = _matrix(a.field("q")), _matrix(r.field("v")), a.field("others")
+                single = len(np.unique(vid)) == len(vid)
                 for j in range(len(q)):
                     open_ = np.zeros(width, bool)
                     open_[lists[j].values.to_numpy()] = True
                     at = np.flatnonzero(open_[other] & (vid != qid[j]))
                     d = np.sqrt(((q[j] - v[at]) ** 2).sum(1))
-                    if len(at) > 4 * k:  # all that tie with the k-th stay, for the smaller ids
+                    if single and len(at) > k:  # all that tie with the k-th stay, for the smaller ids
                         keep = d <= np.partition(d, k - 1)[k - 1]
                         at, d = at[keep], d[keep]
-                    order = np.lexsort((vid[at], d))[:k]
-                    got[0].append(np.full(len(order), qid[j]))
-                    got[1].append(vid[at][order])
-                    got[2].append(d[order])
-            cols = [np.concatenate(g) if g else np.zeros(0) for g in got]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(float))], names=["query_id", "vec_id", "score"])
-
-    near = asking.join(blocks, "code").select("asked", "rows").mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
+                    got.append((np.full(len(at), qid[j]), vid[at], d))
+                    total += len(at)
+                if total > HELD:
+                    got = [kept()]
+                    total = len(got[0][0])
+                    if total > HELD // 2:  # very many queries: give out what there is
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in got[0]], names=["query_id", "vec_id", "score"])
+                        got, total = [], 0
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept()], names=["query_id", "vec_id", "score"])
+
+    near = asking.join(blocks, ["code", "block"]).select("asked", "rows").mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
     best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

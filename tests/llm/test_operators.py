@@ -516,3 +516,38 @@ def test_neighbours(spark):
     few = ann.search(df.filter("vec_id < 4"), df.filter("vec_id = 0")).collect()
     assert sorted(x.vec_id for x in few) == [1, 2, 3]
     assert ann.search(df.limit(0), df).count() == 0
+
+
+def nearest(fine, i, v, k=10):
+    return sorted((float(np.sqrt(((v - u) ** 2).sum())), j) for j, u in fine if j != i)[:k]
+
+
+def test_neighbours_as_shipped(spark):
+    """The query's own parameters on 500 and 3,000 vectors without clusters: the index is used, and finds at least nine of ten."""
+    r = np.random.default_rng(14)
+    for n in (500, 3000):
+        x = r.normal(size=(n, 64)).astype(np.float32).astype(float)
+        df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+        got = {}
+        for y in ann.search(df, df.filter("vec_id % 100 = 0")).collect():
+            got.setdefault(y.query_id, []).append(y.vec_id)
+        fine = list(enumerate(x))
+        recall = [len({j for _, j in nearest(fine, i, x[i])} & set(got[i])) / 10 for i in range(0, n, 100)]
+        assert len(recall) == n // 100 and np.mean(recall) >= 0.9
+    codes = 55
+    books = ann.codebook(x[:, :32], codes), ann.codebook(x[:, 32:], codes)
+    cell = ann._nearest(x[:, :32], books[0])[0] * codes + ann._nearest(x[:, 32:], books[1])[0]
+    sizes = np.bincount(cell, minlength=codes * codes).tolist()
+    da, db = (ann._nearest(h, c)[1][0] for h, c in ((x[:, :32], books[0]), (x[:, 32:], books[1])))
+    seen = ann.walk(da, db, sizes, round((0.33 + 11 / codes) * n))
+    assert 0.5 < sum(sizes[c] for c in seen) / n < 0.6
+    cost = [da[c // codes] + db[c % codes] for c in seen]
+    assert cost == sorted(cost) and len(set(seen)) == len(seen)
+    assert set(ann.walk(da, db, sizes, n)) == {c for c, s in enumerate(sizes) if s}
+
+
+def test_neighbours_of_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.01 * i]) for i in range(40)] + [(i, [1.0, float(i)]) for i in range(2, 20)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((x["rank"], x.vec_id) for x in ann.search(df, df.filter("vec_id = 0"), share=1.0).collect())
+    assert got == [(i, i) for i in range(1, 11)]
