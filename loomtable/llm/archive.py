@@ -1,7 +1,7 @@
 """WARC records in ZIP packages: writer and range reader.
 
-A package is a ZIP file whose members are stored (not compressed by ZIP):
-``archive/data.warc.gz``, one gzip member per record, and
+A package is a ZIP file, streamed out as its records come, whose members are
+stored (not compressed by ZIP): ``archive/data.warc.gz``, one gzip member per record, and
 ``indexes/index.cdxj``, one line per record with its offset and length inside
 that member.  Packages are written to the folder that driver and executors
 share, under a name of their own for each attempt of a task; only names that a
@@ -19,7 +19,8 @@ Defined results: a null payload is empty.  Payloads of at least
 ``LEAST_REVISIT`` bytes that are equal are stored once, in the record with the
 smallest page_id (of rows that share that id, all); others are revisits that
 refer to it.  A null page_id sorts after all others.  Repeated rows are records
-of their own; an empty table makes no package.
+of their own; an empty table makes no package.  Other columns of the input are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,41 +39,75 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtable.llm._shared import has, scratch, table
+from loomtable.llm._shared import has, salted_join, scratch, table, written
 
 LEAST_REVISIT = 100
-ROLL = 16 << 20
+#: Bytes after which a task begins another package, and of one range read.
+ROLL = 1 << 30
 RANGE = 4 << 20
 SALTS = 32
+#: Digests of repeated payloads are sent to all tasks up to this number (about 150 bytes each); beyond, a salted join does the same.
+BROADCAST_DIGESTS = 300_000
 
 # Fixed values of the ZIP format.
-LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
+LOCAL, DESCRIPTOR, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x07\x08", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 MAX16, MAX32 = 0xFFFF, 0xFFFFFFFF
 
 
+class Package:
+    """Writes a ZIP file of stored members to a stream, front to back: a member's bytes go out as they come, its size and checksum after them (and into the central directory), so nothing is held but the directory."""
+
+    def __init__(self, out, zip64: bool = False):
+        self.out, self.zip64, self.at, self.central = out, zip64, 0, []
+
+    def _put(self, data: bytes) -> None:
+        self.out.write(data)
+        self.at += len(data)
+
+    def begin(self, name: str) -> None:
+        self.name, self.start, self.crc, self.size = name.encode(), self.at, 0, 0
+        # Sizes follow the data (flag 8), as 64-bit numbers since there is a ZIP64 field.
+        extra = struct.pack("<HHQQ", 1, 16, 0, 0)
+        self._put(LOCAL + struct.pack("<HHHHHIIIHH", 45, 0x808, 0, 0, 0x21, 0, MAX32, MAX32, len(self.name), len(extra)) + self.name + extra)
+
+    def write(self, data: bytes) -> None:
+        self.crc = zlib.crc32(data, self.crc)
+        self.size += len(data)
+        self._put(data)
+
+    def end(self) -> None:
+        self._put(DESCRIPTOR + struct.pack("<IQQ", self.crc, self.size, self.size))
+        big = self.zip64 or self.size >= MAX32 or self.start >= MAX32
+        extra = struct.pack("<HHQQQ", 1, 24, self.size, self.size, self.start) if big else b""
+        size, start = (MAX32, MAX32) if big else (self.size, self.start)
+        self.central.append(CENTRAL + struct.pack("<HHHHHHIIIHHHHHII", 45, 45, 0x808, 0, 0, 0x21, self.crc, size, size, len(self.name), len(extra), 0, 0, 0, 0, start) + self.name + extra)
+
+    def member(self, name: str, data: bytes) -> None:
+        self.begin(name)
+        self.write(data)
+        self.end()
+
+    def finish(self) -> int:
+        """Writes the directory; returns the file's size."""
+        start, body, n = self.at, b"".join(self.central), len(self.central)
+        self._put(body)
+        size = len(body)
+        if self.zip64 or n >= MAX16 or start >= MAX32 or size >= MAX32:
+            at = self.at
+            self._put(END64 + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, n, n, size, start))
+            self._put(LOCATOR64 + struct.pack("<IQI", 0, at, 1))
+            n, size, start = MAX16, MAX32, MAX32
+        self._put(END + struct.pack("<HHHHIIH", 0, 0, n, n, size, start, 0))
+        return self.at
+
+
 def zip_file(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
-    """A ZIP file of stored members; with ``zip64`` (or where a number needs it) with ZIP64 fields."""
-    out, central = io.BytesIO(), []
+    """A ZIP file of stored members in memory; with ``zip64`` (or where a number needs it) with ZIP64 fields."""
+    out = io.BytesIO()
+    package = Package(out, zip64)
     for name, data in members:
-        at, crc, raw = out.tell(), zlib.crc32(data), name.encode()
-        big = zip64 or len(data) >= MAX32 or at >= MAX32
-        size = MAX32 if big else len(data)
-        extra = struct.pack("<HHQQ", 1, 16, len(data), len(data)) if big else b""
-        out.write(LOCAL + struct.pack("<HHHHHIIIHH", 45 if big else 20, 0x800, 0, 0, 0x21, crc, size, size, len(raw), len(extra)) + raw + extra)
-        out.write(data)
-        extra = struct.pack("<HHQQQ", 1, 24, len(data), len(data), at) if big else b""
-        central.append(CENTRAL + struct.pack("<HHHHHHIIIHHHHHII", 45, 45 if big else 20, 0x800, 0, 0, 0x21, crc, size, size, len(raw), len(extra), 0, 0, 0, 0, MAX32 if big else at) + raw + extra)
-    start, body = out.tell(), b"".join(central)
-    out.write(body)
-    n = len(central)
-    if zip64 or n >= MAX16 or start >= MAX32 or len(body) >= MAX32:
-        at = out.tell()
-        out.write(END64 + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, n, n, len(body), start))
-        out.write(LOCATOR64 + struct.pack("<IQI", 0, at, 1))
-        n, size, start = MAX16, MAX32, MAX32
-    else:
-        size = len(body)
-    out.write(END + struct.pack("<HHHHIIH", 0, 0, n, n, size, start, 0))
+        package.member(name, data)
+    package.finish()
     return out.getvalue()
 
 
@@ -167,57 +202,68 @@ def _reader(file):
     return read
 
 
-def planned(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
+def planned(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """page_id, url, payload, size, digest, and ``first``: the page whose payload a row repeats (null: none, or itself).
 
     Sizes and digests alone are grouped, first by (digest, salt), so a payload
-    that a third of all pages share is counted in many tasks; only payloads
-    that do repeat are joined back, again by salt.
+    that a third of all pages share is counted in many tasks.  Digests that do
+    repeat are written and counted: few are sent to all tasks, and payloads stay
+    where they are; many are joined by salt.  Payloads too short to be revisited
+    meet no digest and are dealt evenly.
     """
     raw = F.encode(F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), raw.alias("payload"))
     rows = rows.withColumn("size", F.length("payload").cast("bigint")).withColumn("digest", F.sha2("payload", 256))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))
     some = rows.where(F.col("size") >= least).groupBy("digest", salt.alias("salt")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = some.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
-    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    out = rows.withColumn("salt", F.when(F.col("size") >= least, salt)).join(firsts, ["digest", "salt"], "left")
-    return out.withColumn("first", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))).drop("salt")
+    firsts = written(some.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first"), "repeated")
+    key = firsts.withColumnRenamed("digest", "key")
+    if firsts.count() <= broadcast_digests:
+        out = rows.join(F.broadcast(key), (F.col("digest") == F.col("key")) & (F.col("size") >= least), "left")
+    else:
+        key = key.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        # Salts under 0 meet nothing: short payloads are dealt by them alone.
+        own = F.when(F.col("size") >= least, salt).otherwise(-1 - F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)))
+        out = rows.withColumn("salt", own).join(key.withColumnRenamed("key", "digest"), ["digest", "salt"], "left")
+    return out.withColumn("first", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))).select("page_id", "url", "payload", "size", "digest", "first")
 
 
 def write(pages: DataFrame, folder: str, *, roll: int = ROLL, zip64: bool = False, **names) -> DataFrame:
     """Writes ``pages`` as packages of about ``roll`` bytes below ``folder``; returns path and size of each, as a table written beside them."""
     spark = pages.sparkSession
-    spark.sparkContext  # noqa: B018 - fails early where there is none
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inner = fs.FileSystem.from_uri(folder)
         system.create_dir(inner, recursive=True)
-        data, index = io.BytesIO(), []
+        package, file, name, index = None, None, "", []
 
         def close() -> pa.RecordBatch:
-            body = zip_file([("archive/data.warc.gz", data.getvalue()), ("indexes/index.cdxj", "".join(index).encode()), ("datapackage.json", b'{"profile": "data-package", "wacz_version": "1.1.1"}')], zip64)
-            name = f"{uuid.uuid4().hex}.wacz"
-            with system.open_output_stream(f"{inner}/{name}") as f:
-                f.write(body)
-            data.seek(0)
-            data.truncate()
+            package.end()
+            package.member("indexes/index.cdxj", "".join(index).encode())
+            package.member("datapackage.json", b'{"profile": "data-package", "wacz_version": "1.1.1"}')
+            size = package.finish()
+            file.close()
             index.clear()
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(body)], pa.int64())], names=["path", "size"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([size], pa.int64())], names=["path", "size"])
 
         for batch in batches:
             for page, url, payload, size, digest, first in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "size", "digest", "first")), strict=True):
                 kind = "response" if first.as_py() is None else "revisit"
-                record = warc_record(page.as_py(), url.as_py(), kind, digest.as_py(), size.as_py(), payload.as_py(), first.as_py())
-                at = data.tell()
-                data.write(gzip.compress(record, 4, mtime=0))
-                index.append(f"{page.as_py()} 19700101000000 {json.dumps({'offset': str(at), 'length': str(data.tell() - at), 'filename': 'data.warc.gz'})}\n")
-                if data.tell() >= roll:
+                record = gzip.compress(warc_record(page.as_py(), url.as_py(), kind, digest.as_py(), size.as_py(), payload.as_py(), first.as_py()), 4, mtime=0)
+                if package is None:
+                    name = f"{uuid.uuid4().hex}.wacz"
+                    file = system.open_output_stream(f"{inner}/{name}")
+                    package = Package(file, zip64)
+                    package.begin("archive/data.warc.gz")
+                index.append(f"{page.as_py()} 19700101000000 {json.dumps({'offset': str(package.size), 'length': str(len(record)), 'filename': 'data.warc.gz'})}\n")
+                package.write(record)
+                if package.size >= roll:
                     yield close()
-        if index:
+                    package = None
+        if package is not None:
             yield close()
 
-    plan = planned(pages, **names).select("page_id", "url", "payload", "size", "digest", "first")
+    plan = planned(pages, **names)
     manifest = f"{folder}/manifest"
     plan.mapInArrow(run, "path string, size bigint").write.parquet(manifest)
     return spark.read.schema("path string, size bigint").parquet(manifest)
@@ -274,6 +320,17 @@ def read(packages: DataFrame, *, payloads: bool = False) -> DataFrame:
     return ranges(packages.repartition(spread)).repartition(spread).mapInArrow(run, schema)
 
 
+def restored(records: DataFrame) -> DataFrame:
+    """Records of ``read(payloads=True)`` with the payload of revisits filled in from the response of their digest, checked against the digest; an error if there is none."""
+    again = records.where("record_type = 'revisit'")
+    asked = again.select("payload_digest").distinct()
+    full = records.where(f"record_type = 'response' AND payload_bytes >= {LEAST_REVISIT}").join(asked, "payload_digest", "left_semi").groupBy("payload_digest").agg(F.first("payload").alias("full"))
+    met = salted_join(again.withColumn("at", F.monotonically_increasing_id()), full, ["payload_digest"], ["at"], "left")
+    fits = F.sha2("full", 256) == F.col("payload_digest")
+    checked = F.when(F.coalesce(fits, F.lit(False)), F.col("full")).otherwise(F.raise_error(F.concat(F.lit("no payload for page "), F.col("page_id").cast("string"))).cast("binary"))
+    return records.where("record_type <> 'revisit'").unionByName(met.withColumn("payload", checked).select(records.columns))
+
+
 def round_trip(spark: SparkSession, pages: DataFrame, **names) -> DataFrame:
     """Writes ``pages`` as packages and reads them back."""
     has(pages, names.get("id_col", "page_id"), names.get("url", "url"), names.get("html", "html"))

@@ -57,9 +57,14 @@ def test_zip_reader_rejects_other_files():
 def test_warc_round_trip(spark, tmp_path):
     long, html = "é" * 400_000, "<p>" + "a" * 200
     rows = [(1, "http://a", html), (2, "http://b", html), (3, None, None), (4, "u", "short"), (5, "u", "short"), (2, "http://b", html), (None, "n", html), (7, "h\r\nX: y", long), (8, "", long), (9, "z", "")]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("size", F.lit(1))
-    for zip64 in (False, True):
-        got = archive.read(archive.write(pages, f"file://{tmp_path}/{zip64}", roll=1 << 16, zip64=zip64)).collect()
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for name in ("size", "payload", "digest", "first", "salt", "key", "path"):
+        pages = pages.withColumn(name, F.lit(1))
+    for zip64, few in ((False, 300_000), (True, 300_000), (False, 0)):
+        back = archive.read(archive.write(pages, f"file://{tmp_path}/{zip64}{few}", roll=1 << 16, zip64=zip64, broadcast_digests=few), payloads=True)
+        got = back.collect()
+        full = {(r.page_id or -1, r.url): r.payload for r in archive.restored(back).collect()}
+        assert full[2, "http://b"] == full[-1, "n"] == html.encode() and full[8, ""] == long.encode() and full[9, "z"] == b"" and len(full) == 9
         assert sorted((r.page_id or -1, r.record_type, r.refers_to) for r in got) == sorted(
             [(1, "response", None), (2, "revisit", 1), (2, "revisit", 1), (-1, "revisit", 1), (3, "response", None), (4, "response", None), (5, "response", None), (7, "response", None), (8, "revisit", 7), (9, "response", None)]
         )
@@ -290,6 +295,13 @@ def test_chat_survives_any_text():
     parts = ["### ", "###+ ", "</turn>", "\\", "#", "<", "\n", ": ", "assistant", "é", "/turn>", " "]
     turns = [("".join(r.choice(parts) for _ in range(r.randint(0, 4))), "".join(r.choice(parts) for _ in range(r.randint(0, 9)))) for _ in range(3000)]
     assert chat.parse("".join(chat.render(a, b) for a, b in turns)) == turns
+    whole, reader, out = "".join(chat.render(a, b) for a, b in turns), chat.Reader(), []
+    while whole:
+        n = r.randint(1, 40)
+        out += reader.feed(whole[:n])
+        whole = whole[n:]
+    reader.close()
+    assert out == turns
     for bad in ("x", "### user: a", "### user: a</turn>", "### user a</turn>\n", "### u: ### v: </turn>\n"):
         with pytest.raises(chat.GrammarError):
             chat.parse(bad)
@@ -303,6 +315,11 @@ def test_chat_digests(spark):
     assert tuple(got[1])[1:5] == (4, sha("user\no</turn>ne\n" + "assistant\ntwo ### x\n" * 2 + "assistant\n\n"), 18, sha("two ### x" * 2))
     assert got[2].turns_sha256 == sha("\né\n") and got[None].n_turns == 1 and got[3].loss_chars == 400_000
     assert chat.read_back(chat.turns(df.limit(0))).count() == 0
+    many = spark.createDataFrame([(9, i, "assistant" if i % 2 else "user", f"turn {i} </turn>" * (i % 3)) for i in range(20_000)], "conv_id bigint, turn bigint, role string, text string")
+    assert chat.read_back(chat.turns(many)).first().n_turns == 20_000
+    spoiled = chat.turns(df).withColumn("formatted", F.regexp_replace("formatted", "two", "three"))
+    with pytest.raises(Exception, match="is not its source"):
+        chat.read_back(spoiled).collect()
 
 
 # --- near-duplicates ----------------------------------------------------------------------
