@@ -16,7 +16,7 @@ Defined results: null and empty texts are scored like any other, with all
 features 0.  Rows pass one by one, so repeated rows and ids keep their number.
 Repeated labels of one id are averaged; null labels are left out.  Without
 labels of both classes the model is the constant share of class 1 (0.5 without
-any label).
+any label).  Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -74,6 +74,7 @@ def features(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
     symbol = _SYMBOL[b]
     pair = np.zeros(len(b), bool)
     pair[1:] = symbol[1:] & symbol[:-1]
+    pair[bounds[:-1][size > 0]] = False  # a run does not come over from the text before
     length = w.end - w.start
     h = w.hashes()
     text_of = np.repeat(np.arange(n), w.counts())
