@@ -261,27 +261,32 @@ def train(spark: SparkSession, findings: DataFrame | None = None) -> str:
 
 
 def findings(docs: DataFrame, *, text: str = "text", model: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``row``, ``text``, ``pieces``, ``candidates`` (at, n, score) and ``found``, those that are secrets: the value of n pieces from number ``at`` (from 1), or the run within piece ``at`` if n is 0."""
+    """``row``, ``text``, ``pieces`` and arrays along them: ``within`` (number of a piece in its value), ``scored`` (candidates that begin there: n pieces of a value, or the run within the piece if n is 0; score), ``whole`` and ``run`` (whether these are secrets).
+
+    All arrays are as long as ``pieces``, and a piece looks at its own place and
+    a few before and after it, so the work grows with the text alone, however
+    many findings it has.
+    """
     model = model or train(docs.sparkSession)
     v = f"'{_sql(_VALUE)}'"
     df = packed(docs, text).withColumn("asked", F.expr(f"regexp_extract_all(text, {v}, 0)"))
     df = df.withColumn("between", F.expr(f"if(size(asked) > 0, split(text, {v}, -1), array(text))"))
     df = df.withColumn("heads", F.expr(f"if(size(asked) > 0, zip_with(regexp_extract_all(text, {v}, 1), regexp_extract_all(text, {v}, 2), (a, b) -> concat(a, b)), asked)"))
     cut = lambda t: f"split({t}, '{_sql(_CUT)}', -1)"
-    # By turns what leads to a value and the value, each in pieces.  No struct fields of arrays here: Spark would inline them into the lambdas below and build them anew for each candidate.
+    # By turns what leads to a value and the value, each in pieces.  Every array that a lambda below looks into is a column read more than once: Spark would inline others and build them anew for each piece.
     parted = f"flatten(transform(between, (g, i) -> if(i < size(asked), array({cut('concat(g, heads[i])')}, {cut('substring(asked[i], length(heads[i]) + 1)')}), array({cut('g')}))))"
     df = df.withColumn("parts", F.expr(f"if(text IS NULL, NULL, {parted})")).withColumn("pieces", F.expr("flatten(parts)"))
-    df = df.withColumn("spans", F.expr("flatten(transform(parts, (q, j) -> if(j % 2 = 1, transform(q, (x, k) -> if(k = 0, size(q), 0)), array_repeat(0, size(q)))))"))
-    df = df.withColumn("at", F.expr(f"filter(transform(zip_with(pieces, spans, (p, n) -> n > 0 OR length(p) >= 10 AND p RLIKE '{_KEY}'), (b, i) -> if(b, i + 1, 0)), i -> i > 0)"))
-    whole = "named_struct('at', i, 'n', spans[i - 1], 't', if(spans[i - 1] > 0, array_join(slice(pieces, i, spans[i - 1]), ''), ''))"
-    run = f"named_struct('at', i, 'n', 0, 't', if(length(pieces[i - 1]) >= 10, regexp_extract(pieces[i - 1], '{_KEY}', 0), ''))"
-    df = df.withColumn("seen", F.expr(f"flatten(transform(at, i -> filter(array({whole}, {run}), s -> s.t <> '' AND NOT (s.n = 0 AND spans[i - 1] = 1 AND s.t = pieces[i - 1]))))"))
-    c = "array_join(slice(pieces, greatest(s.at - 6, 1), least(6, s.at - 1)), '')"
-    f = "array_join(slice(pieces, s.at + greatest(s.n, 1), 3), '')"
-    df = df.withColumn("known", F.expr(f"transform(seen, s -> named_struct('at', s.at, 'n', s.n, 'x', {_features_sql('s.t', c, f)}))"))
-    df = df.withColumn("candidates", F.expr(f"transform(known, s -> named_struct('at', s.at, 'n', s.n, 'score', element_at(transform(array(s.x), x -> {model}), 1)))"))
-    df = df.withColumn("hits", F.expr(f"filter(candidates, s -> s.score >= {threshold})")).withColumn("wide", F.expr("filter(hits, s -> s.n > 0)"))
-    return df.withColumn("found", F.expr("filter(hits, s -> s.n > 0 OR NOT exists(wide, w -> s.at >= w.at AND s.at < w.at + w.n))"))
+    along = lambda value, other: F.expr(f"flatten(transform(parts, (q, j) -> if(j % 2 = 1, transform(q, (x, k) -> {value}), array_repeat({other}, size(q)))))")
+    df = df.withColumn("within", along("k", "0")).withColumn("spans", along("if(k = 0, size(q), 0)", "0")).withColumn("values", along("if(k = 0, array_join(q, ''), '')", "''"))
+    both = f"array(named_struct('n', spans[i], 't', values[i]), named_struct('n', 0, 't', if(length(p) >= 10, regexp_extract(p, '{_KEY}', 0), '')))"
+    once = f"filter({both}, s -> s.t <> '' AND NOT (s.n = 0 AND spans[i] = 1 AND s.t = p))"
+    c = "concat_ws('', " + ", ".join(f"get(pieces, i - {k})" for k in range(6, 0, -1)) + ")"
+    f = "concat_ws('', " + ", ".join(f"get(pieces, i + greatest(s.n, 1) + {k})" for k in range(3)) + ")"
+    scored = f"transform({once}, s -> named_struct('n', s.n, 'score', element_at(transform(array({_features_sql('s.t', c, f)}), x -> {model}), 1)))"
+    none = "CAST(array() AS array<struct<n: int, score: double>>)"
+    df = df.withColumn("scored", F.expr(f"transform(pieces, (p, i) -> if(spans[i] > 0 OR length(p) >= 10 AND p RLIKE '{_KEY}', {scored}, {none}))"))
+    df = df.withColumn("whole", F.expr(f"transform(scored, a -> exists(a, s -> s.n > 0 AND s.score >= {threshold}))"))
+    return df.withColumn("run", F.expr(f"transform(scored, (a, i) -> exists(a, s -> s.n = 0 AND s.score >= {threshold}) AND NOT whole[i - within[i]])"))
 
 
 def _sql(pattern: str) -> str:
@@ -290,10 +295,8 @@ def _sql(pattern: str) -> str:
 
 
 def _redacted() -> F.Column:
-    inside = "exists(wide, w -> i + 1 >= w.at AND i + 1 < w.at + w.n)"
-    first = "exists(wide, w -> i + 1 = w.at)"
-    cleaned = f"array_join(transform(pieces, (p, i) -> CASE WHEN {first} THEN '{MARK}' WHEN {inside} THEN '' WHEN exists(found, s -> s.at = i + 1) THEN regexp_replace(p, '{_KEY}', '{MARK}') ELSE p END), '')"
-    return F.expr(f"CASE WHEN size(found) > 0 THEN {cleaned} ELSE text END")
+    cleaned = f"array_join(transform(pieces, (p, i) -> CASE WHEN whole[i] THEN '{MARK}' WHEN within[i] > 0 AND whole[i - within[i]] THEN '' WHEN run[i] THEN regexp_replace(p, '{_KEY}', '{MARK}') ELSE p END), '')"
+    return F.expr(f"CASE WHEN exists(whole, h -> h) OR exists(run, h -> h) THEN {cleaned} ELSE text END")
 
 
 def redacted(docs: DataFrame, *, text: str = "text", model: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -306,11 +309,15 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", model
     """Per row of ``docs``: doc_id, n_candidates, n_secrets, max_score (of all candidates; null without any), secrets_at (character offsets from 0), redacted_sha256."""
     has(docs, id_col, text)
     df = findings(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), model=model, threshold=threshold)
-    count = lambda c: F.coalesce(F.when(F.size(c) > 0, F.size(c)), F.lit(0)).cast("bigint")
+    # One running sum over the pieces: where each begins; the places of secrets are written down as it passes.
+    start = f"s.at + if(whole[i], 0, regexp_instr(pieces[i], '{_KEY}') - 1)"
+    places = f"aggregate(sequence(0, size(pieces) - 1), named_struct('at', 0L, 'said', ''), (s, i) -> named_struct('at', s.at + length(pieces[i]), 'said', if(whole[i] OR run[i], concat(s.said, ',', {start}), s.said)), s -> substring(s.said, 2))"
+    count = lambda e: F.coalesce(F.expr(e), F.lit(0)).cast("bigint")
     return df.select(
-        F.col("row.id").alias("doc_id"), count("candidates").alias("n_candidates"), count("found").alias("n_secrets"),
-        F.expr("array_max(transform(candidates, s -> s.score))").alias("max_score"),
-        F.expr(f"coalesce(array_join(transform(found, s -> length(array_join(slice(pieces, 1, s.at - 1), '')) + if(s.n > 0, 0, regexp_instr(element_at(pieces, s.at), '{_KEY}') - 1)), ','), '')").alias("secrets_at"),
+        F.col("row.id").alias("doc_id"), count("aggregate(scored, 0, (s, a) -> s + size(a))").alias("n_candidates"),
+        count("size(filter(whole, h -> h)) + size(filter(run, h -> h))").alias("n_secrets"),
+        F.expr("array_max(transform(flatten(scored), s -> s.score))").alias("max_score"),
+        F.expr(f"if(exists(whole, h -> h) OR exists(run, h -> h), {places}, '')").alias("secrets_at"),
         F.sha2(F.coalesce(_redacted(), F.lit("")), 256).alias("redacted_sha256"),
     )
 
