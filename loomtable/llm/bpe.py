@@ -213,11 +213,12 @@ def digests(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text: s
     return encoded(small, vocabulary, text="text", ids=False).select(F.col("row.id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def tokens(docs: DataFrame, vocabulary: str, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids`` added (replacing a column of that name)."""
+def tokens(docs: DataFrame, vocabulary: str, *, text: str = "text", digests: bool = False) -> DataFrame:
+    """``docs`` with ``token_ids`` added and, if asked, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (each replacing a column of that name)."""
     df = encoded(docs, vocabulary, text=text)
-    rest = [c for c in docs.columns if c != "token_ids"]
-    return df.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in rest], F.col("ids").alias("token_ids"))
+    added = {"token_ids": "ids"} | ({c: c for c in ("n_tokens", "ids_sha256", "decoded_sha256")} if digests else {})
+    rest = [c for c in docs.columns if c not in added]
+    return df.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in rest], *[F.col(v).alias(c) for c, v in added.items()])
 
 
 def op5(spark, sf_dir):

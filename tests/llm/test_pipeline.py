@@ -48,8 +48,11 @@ def test_stages(spark):
         else:
             for r in rows:
                 ids = lib.encode(kept[r.doc_id] or "", add_special_tokens=False).ids
-                assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest())
+                assert (r.n_tokens, r.ids_sha256, r.token_ids, r.text) == (len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), ids, kept[r.doc_id])
+                assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
         df, kept = out, after
+    whole = {r.doc_id: (r.token_ids, r.lang) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert whole == {r.doc_id: (r.token_ids, r.lang) for r in rows}
 
 
 def test_stages_take_awkward_rows(spark):
