@@ -221,7 +221,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept()], names=["query_id", "vec_id", "score"])
 
-    near = asking.join(blocks, ["code", "block"]).select("asked", "rows").mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
+    # Lists of vectors are far larger than Spark estimates: never let it broadcast them.
+    near = asking.join(blocks.hint("merge"), ["code", "block"]).select("asked", "rows").mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
     best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
