@@ -161,3 +161,41 @@ def unit(v: Column) -> Column:
     """The vector divided by its Euclidean length; null for a zero vector."""
     n = F.sqrt(dot(v, v))
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
+
+
+def wiki_url(page: Column, language: str = "en", curid: Column | None = None) -> Column:
+    """The URL of a wiki page by its title."""
+    url = F.concat(F.lit(f"http://{language}.wikipedia.org/wiki/"), F.replace(page, F.lit(" "), F.lit("_")))
+    return url if curid is None else F.concat(url, F.lit("?curid="), curid.cast("string"))
+
+
+def unicode_escaped(text: Column) -> Column:
+    """Characters over U+007E as ``\\uXXXX`` (as surrogate pairs over U+FFFF)."""
+    raw = F.transform(F.split(text, ""), lambda c: F.when(c.rlike("[\u0000-\u007e]") | (c == ""), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-16BE")), "(.{4})", r"\\u$1")))
+    return F.array_join(raw, "")
+
+
+def rdf_node(value: Column, kind: Column, datatype: Column, language: Column) -> Column:
+    """A term as N-Triples write it: ``<uri>``, or a quoted literal with its language or data type."""
+    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n"), F.lit('"'))
+    tail = F.when(language.isNotNull(), F.concat(F.lit("@"), language)).when(datatype.isNotNull(), F.concat(F.lit("^^<"), datatype, F.lit(">"))).otherwise("")
+    return F.when(kind == "uri", F.concat(F.lit("<"), value, F.lit(">"))).otherwise(F.concat(quoted, tail))
+
+
+def links_within(links: Column, start: Column, end: Column) -> Column:
+    """Links (start, end, href) of a text that lie in its part from ``start`` to ``end``, by offsets in that part; those cut by its edges are left out."""
+    inside = F.filter(links, lambda k: (k["start"] >= start) & (k["end"] <= end))
+    return F.transform(inside, lambda k: F.struct((k["start"] - start).alias("start"), (k["end"] - start).alias("end"), k["href"].alias("href")))
+
+
+def links_joined(first: Column, length: Column, second: Column) -> Column:
+    """Links of two texts put one after the other: the second's move by the first's length."""
+    return F.concat(first, F.transform(second, lambda k: F.struct((k["start"] + length).alias("start"), (k["end"] + length).alias("end"), k["href"].alias("href"))))
+
+
+def with_anchors(text: Column, links: Column) -> Column:
+    """The text as HTML, each link (in order, not overlapping) an anchor."""
+    part = lambda a, b: F.substring(text, a + 1, b - a)
+    before = lambda i: F.when(i > 0, F.get(links, i - 1)["end"]).otherwise(0)
+    seen = F.transform(links, lambda k, i: F.concat(part(before(i), k["start"]), F.lit('<a href="'), k["href"], F.lit('">'), part(k["start"], k["end"]), F.lit("</a>")))
+    return F.concat(F.array_join(seen, ""), part(F.coalesce(F.get(links, F.size(links) - 1)["end"], F.lit(0)), F.length(text)))

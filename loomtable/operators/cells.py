@@ -112,3 +112,8 @@ def columns_of(df: DataFrame, table_id: str, columns: list[str], row: str) -> Da
     """A flat DataFrame as body cells: row numbers are its ``row`` column, column numbers the position in ``columns``."""
     stacked = F.array(*[F.struct(F.lit(i).alias("ci"), F.lit(c).alias("name"), F.col(c).cast("string").alias("text")) for i, c in enumerate(columns)])
     return df.select(F.lit(table_id).alias("table_id"), F.col(row).alias("ri"), F.explode(stacked).alias("c")).select("table_id", "ri", "c.ci", "c.name", "c.text")
+
+
+def largest_first(df: DataFrame, size: str, *ties: str) -> DataFrame:
+    """Rows by falling size, ties in the order given: a global sort by ranges."""
+    return df.orderBy(F.desc(size), *ties)

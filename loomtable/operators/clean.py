@@ -137,3 +137,11 @@ def context_columns(cells: DataFrame, attributes: DataFrame, fields: list[str])
     values = body.select("table_id", F.lit("body").alias("section"), "ri", at.alias("c")).select("table_id", "section", "ri", "c.ci", "c.text")
     heads = attributes.select("table_id", F.lit("head").alias("section"), F.lit(0).alias("ri"), F.explode(F.array(*[F.struct(F.lit(i).alias("ci"), F.lit(f"_{f}").alias("text")) for i, f in enumerate(fields)])).alias("c")).select("table_id", "section", "ri", "c.ci", "c.text")
     return moved.unionByName(values).unionByName(heads)
+
+
+def demote_plain_heads(tables: DataFrame) -> DataFrame:
+    """Header rows made of ``<td`` cells only (``head_tags``: the tag of each header cell) become the first body rows, in their order."""
+    plain = lambda i: F.forall(F.get("head_tags", i), lambda t: t == "td")
+    down = F.filter("head", lambda r, i: plain(i))
+    out = tables.withColumn("body", F.concat(down, F.col("body"))).withColumn("head", F.filter("head", lambda r, i: ~F.coalesce(plain(i), F.lit(False))))
+    return out.withColumn("head_tags", F.filter("head_tags", lambda t: ~F.forall(t, lambda x: x == "td"))).withColumn("num_rows", F.size("body"))

@@ -111,3 +111,30 @@ def submission(targets: DataFrame, predictions: DataFrame, key: list[str]) -> Da
     """Every target with its best prediction (uri; ties to the smaller), null if there is none."""
     best = predictions.groupBy(*key).agg(F.min_by("uri", F.struct((-F.col("score")).alias("n"), F.col("uri"))).alias("uri"))
     return targets.select(*key).distinct().join(best, key, "left")
+
+
+def flat_entities(tables: DataFrame) -> DataFrame:
+    """(table_id, ci, ri, uri, score) from ``entities``: column -> row -> URI -> score."""
+    col = tables.select("table_id", F.explode("entities").alias("ci", "of"))
+    row = col.select("table_id", F.col("ci").cast("int"), F.explode("of").alias("ri", "of"))
+    return row.select("table_id", "ci", F.col("ri").cast("int"), F.explode("of").alias("uri", "score"))
+
+
+def flat_classes(tables: DataFrame) -> DataFrame:
+    """(table_id, ci, uri, score) from ``classes``: column -> URI -> score."""
+    return tables.select("table_id", F.explode("classes").alias("ci", "of")).select("table_id", F.col("ci").cast("int"), F.explode("of").alias("uri", "score"))
+
+
+def flat_properties(tables: DataFrame) -> DataFrame:
+    """(table_id, from_ci, to_ci, uri, score) from ``properties``: column -> column -> URI -> score."""
+    a = tables.select("table_id", F.explode("properties").alias("from_ci", "of"))
+    b = a.select("table_id", F.col("from_ci").cast("int"), F.explode("of").alias("to_ci", "of"))
+    return b.select("table_id", "from_ci", F.col("to_ci").cast("int"), F.explode("of").alias("uri", "score"))
+
+
+def overview(tables: DataFrame, entities: DataFrame, classes: DataFrame, properties: DataFrame) -> DataFrame:
+    """One row: numbers of tables, of annotations, and means of rows and columns."""
+    base = tables.agg(F.count("*").alias("tables"), F.avg("num_rows").alias("rows"), F.avg("num_cols").alias("columns"))
+    for name, df in (("entities", entities), ("classes", classes), ("properties", properties)):
+        base = base.crossJoin(df.agg(F.count("*").alias(name)))  # one row with one row
+    return base

@@ -182,3 +182,61 @@ def kb_info(uris: DataFrame, triples: DataFrame, most: int = 10) -> DataFrame:
     w = Window.partitionBy("s").orderBy("p", "o")
     values = out.withColumn("k", F.row_number().over(w)).groupBy(F.col("s").alias("uri")).agg(F.count("*").alias("facts"), F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.col("o")))).alias("objects"))
     return u.join(values, "uri", "left").join(refcounts(triples), "uri", "left").select("uri", F.coalesce("facts", F.lit(0)).alias("facts"), F.coalesce("refs", F.lit(0)).alias("refs"), "objects")
+
+
+def pattern_counts(triples: DataFrame, by: list[str]) -> DataFrame:
+    """How many triples there are for each value of the given positions (some of s, p, o)."""
+    return triples.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def label_match(pairs: DataFrame, labels: DataFrame, least: float = 0.0) -> DataFrame:
+    """(uri, text, score): the best edit similarity of a text and any label of the entity it is asked about, if over ``least``."""
+    one = pairs.select("uri", "text").distinct()
+    near = one.join(labels.select("uri", "txt"), "uri").withColumn("score", T.edit_similarity(F.lower("text"), F.lower("txt")))
+    return near.groupBy("uri", "text").agg(F.max("score").alias("score")).filter(F.col("score") > least)
+
+
+def by_fact_count(candidates: DataFrame, triples: DataFrame) -> DataFrame:
+    """Candidates (text, uri) with ``facts`` and their place by falling number of facts, ties to the smaller uri."""
+    n = triples.groupBy(F.col("s").alias("uri")).agg(F.count("*").alias("facts"))
+    df = candidates.join(n, "uri", "left").withColumn("facts", F.coalesce("facts", F.lit(0)))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("facts"), "uri")))
+
+
+def search_words(queries: DataFrame, labels: DataFrame, refs: DataFrame | None = None, context: DataFrame | None = None, k: int = 10, most_df: int = 10_000) -> DataFrame:
+    """Candidates by shared words: (text, uri, score, rank).
+
+    A word weighs ``ln(1 + labels / labels with the word)``; a label scores the
+    share of both texts' weight that they have in common, doubled where the
+    whole label is the query, times the root of its own score; then comes
+    ``ln(1 + references)`` at a tenth (refs: uri, refs) and 0.2 for each fact
+    value of the entity (context: uri, value) among the query's context words
+    (queries: text, context).  Only words of at most ``most_df`` labels search
+    (commoner ones still count in the score); a query of such words alone falls
+    back on its rarest word, so no query is without a search.
+    """
+    words = lambda df, key, text: df.select(*key, F.explode(T.tokens(F.col(text))).alias("word"))
+    lab = labels.select("uri", "txt", "score").withColumn("lid", F.xxhash64("uri", "txt"))
+    lw = words(lab, ["lid"], "txt").distinct()
+    n = labels.agg(F.count("*").alias("labels"))
+    weight = lw.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("word", "df", F.log(1 + F.col("labels") / F.col("df")).alias("w"))
+    lw = written(lw.join(weight, "word"), "label-words")
+    q = queries.select("text").distinct()
+    qw = written(words(q, ["text"], "text").distinct().join(weight, "word"), "query-words")
+    rarest = Window.partitionBy("text").orderBy("df", "word")
+    asks = qw.withColumn("place", F.row_number().over(rarest)).filter((F.col("df") <= most_df) | (F.col("place") == 1))
+    met = asks.select("text", "word").join(lw.select("word", "lid"), "word").select("text", "lid").distinct()
+    common = met.join(qw.select("text", "word", "w"), "text").join(lw.select("lid", "word"), ["lid", "word"]).groupBy("text", "lid").agg(F.sum("w").alias("common"))
+    total = lambda df, key, out: df.groupBy(key).agg(F.sum("w").alias(out))
+    s = common.join(total(qw, "text", "qt"), "text").join(total(lw, "lid", "lt"), "lid").join(lab, "lid")
+    same = F.when(F.lower("text") == F.lower("txt"), 2.0).otherwise(1.0)
+    s = s.withColumn("base", same * F.col("common") / (F.col("qt") + F.col("lt") - F.col("common")) * F.sqrt("score"))
+    best = s.groupBy("text", "uri").agg(F.max("base").alias("score"))
+    if refs is not None:
+        best = best.join(refs, "uri", "left").withColumn("score", F.col("score") + 0.1 * F.log1p(F.coalesce("refs", F.lit(0)))).drop("refs")
+    if context is not None:
+        asked = queries.select("text", F.explode(T.tokens(F.col("context"))).alias("value")).distinct()
+        hits = best.join(asked, "text").join(context.select("uri", F.lower("value").alias("value")).distinct(), ["uri", "value"]).groupBy("text", "uri").agg(F.count("*").alias("hits"))
+        best = best.join(hits, ["text", "uri"], "left").withColumn("score", F.col("score") + 0.2 * F.coalesce("hits", F.lit(0))).drop("hits")
+    w = Window.partitionBy("text").orderBy(F.desc(F.round("score", 9)), "uri")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("text", "uri", "score", "rank")

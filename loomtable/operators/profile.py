@@ -136,3 +136,25 @@ def log_binned_mean(df: DataFrame, rank: str, value: str) -> DataFrame:
     """Mean of a value in bins of a rank that grow tenfold: bin (1, 10, 100, ...), n, mean."""
     bin_ = F.pow(F.lit(10), F.floor(F.log10(rank))).cast("bigint").alias("bin")
     return df.filter(F.col(rank) >= 1).groupBy(bin_).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+def ranked(df: DataFrame, column: str) -> DataFrame:
+    """(column, n, rank): values by falling count, ties to the smaller value; ranks are summed range by range, so no task holds all values."""
+    from loomtable.operators.cells import running
+
+    n = df.groupBy(column).agg(F.count("*").alias("n")).withColumn("_down", -F.col("n"))
+    return running(n, {"rank": F.lit(1)}, ["_down", column]).select(column, "n", (F.col("rank") + 1).cast("bigint").alias("rank"))
+
+
+def known_share(cells: DataFrame, members: DataFrame, least: float = 0.5) -> DataFrame:
+    """Columns (table_id, ci) of which more than ``least`` of the distinct texts are members (text), ignoring case: (table_id, ci, share).  Membership is an exact join on the distinct members, to which Spark adds a Bloom filter of its own where that helps."""
+    texts = cells.filter("trim(text) <> ''").select("table_id", "ci", F.lower("text").alias("key")).distinct()
+    known = members.select(F.lower("text").alias("key")).distinct().withColumn("known", F.lit(1))
+    share = texts.join(known, "key", "left").groupBy("table_id", "ci").agg(F.avg(F.coalesce("known", F.lit(0))).alias("share"))
+    return share.filter(F.col("share") > least)
+
+
+def by_fill(cells: DataFrame) -> DataFrame:
+    """(table_id, ci, filled, place): columns by falling number of non-empty cells, ties to the left."""
+    n = cells.groupBy("table_id", "ci").agg(F.count_if(F.trim(F.coalesce("text", F.lit(""))) != "").alias("filled"))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy("table_id").orderBy(F.desc("filled"), "ci")))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import ast
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -277,3 +279,46 @@ def normalised(totals: DataFrame, widths: DataFrame, how: str = "jacc") -> DataF
     t = F.col("total")
     size = {"jacc": F.col("n1") + F.col("n2") - t, "wide": F.greatest("n1", "n2"), "narrow": F.least("n1", "n2")}[how]
     return df.select("ti1", "ti2", (t / size).alias("sim"))
+
+
+@dataclass(frozen=True)
+class Matcher:
+    """What a way of comparing columns consists of.
+
+    ``score(cells, block)`` gives (ti1, ti2, ci1, ci2, score); ``block(cells)``
+    the table pairs it is asked for (none: those that share a cell); ``source``
+    says whether it compares head or body cells.
+    """
+
+    score: Callable[[DataFrame, DataFrame], DataFrame]
+    block: Callable[[DataFrame], DataFrame] | None = None
+    source: str = "body"
+
+    def matches(self, cells: DataFrame) -> DataFrame:
+        flat = cells.filter(F.col("section") == self.source).select("ti", "ci", "text").distinct()
+        return self.score(flat, (self.block or cell_block)(flat)).select(*PAIR, F.col("score").cast("double").alias("score"))
+
+
+def block_statistics(block: DataFrame) -> DataFrame:
+    """One row about a block: pairs, tables with a partner, mean and deviation of partners per table."""
+    n = block.select(F.col("ti1").alias("ti")).union(block.select("ti2")).groupBy("ti").agg(F.count("*").alias("n"))
+    return n.agg((F.sum("n") / 2).cast("bigint").alias("pairs"), F.count("*").alias("tables"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"))
+
+
+def kept_by(scores: DataFrame, other: DataFrame) -> DataFrame:
+    """Column pairs that a second matcher scores over 0."""
+    return scores.join(other.filter("score > 0").select(*PAIR), PAIR, "left_semi")
+
+
+def with_identity(sims: DataFrame, tables: DataFrame) -> DataFrame:
+    """Similarities (ti1, ti2, sim) with an edge of 1 from each table (ti) to itself."""
+    return sims.select("ti1", "ti2", "sim").unionByName(tables.select(F.col("ti").alias("ti1"), F.col("ti").alias("ti2"), F.lit(1.0).alias("sim")))
+
+
+#: Types that say nothing about a column.
+DULL_TYPES = ("xsd:string",)
+
+
+def type_vectors(typed: DataFrame, exclude: tuple[str, ...] = DULL_TYPES) -> DataFrame:
+    """(id, key, w): how often each type stands in a column (id, type), but for the excluded ones."""
+    return typed.filter(~F.col("type").isin(*exclude)).groupBy("id", F.col("type").alias("key")).agg(F.count("*").cast("double").alias("w"))

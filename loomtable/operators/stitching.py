@@ -63,3 +63,20 @@ def key_candidates(df: DataFrame, columns: list[str], size: int = 2, least: floa
     """Minimal determinants of up to ``size`` columns (det, dep, score): rows with an empty value are left out, as in a key."""
     full = df.filter(" AND ".join(f"`{c}` IS NOT NULL AND trim(CAST(`{c}` AS STRING)) <> ''" for c in columns))
     return profile.dependencies(full, columns, size, 1 - least).withColumn("score", 1 - F.col("g3")).drop("g3")
+
+
+def class_matches(classes: DataFrame) -> DataFrame:
+    """Pairs of columns (ti, ci, class, score) of different tables with the same class; the smaller of both scores."""
+    a, b = classes.alias("a"), classes.alias("b")
+    met = a.join(b, (F.col("a.class") == F.col("b.class")) & (F.col("a.ti") < F.col("b.ti")))
+    return met.select(F.col("a.ti").alias("ti1"), F.col("b.ti").alias("ti2"), F.col("a.ci").alias("ci1"), F.col("b.ci").alias("ci2"), F.lit("class").alias("matcher"), F.least("a.score", "b.score").alias("score"))
+
+
+def column_codes(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, codes): columns of scored pairs numbered from 0 by table and column (ti, ci, code), and the pairs (code1, code2, score) by these numbers."""
+    from loomtable.operators.cells import running
+
+    every = scores.select(F.col("ti1").alias("ti"), F.col("ci1").alias("ci")).union(scores.select("ti2", "ci2")).distinct()
+    codes = running(every, {"code": F.lit(1)}, ["ti", "ci"])
+    one, two = codes.withColumnsRenamed({"ti": "ti1", "ci": "ci1", "code": "code1"}), codes.withColumnsRenamed({"ti": "ti2", "ci": "ci2", "code": "code2"})
+    return scores.join(one, ["ti1", "ci1"]).join(two, ["ti2", "ci2"]).select("code1", "code2", "score"), codes

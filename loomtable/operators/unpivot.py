@@ -101,3 +101,34 @@ def split_header(text: Column, pattern: str) -> tuple[Column, Column]:
     """Variable and value of a header cell by a pattern with two groups; the cell itself and empty where it does not match."""
     fits = text.rlike(pattern)
     return F.when(fits, F.regexp_extract(text, pattern, 1)).otherwise(text), F.when(fits, F.regexp_extract(text, pattern, 2)).otherwise(F.lit(""))
+
+
+# Header patterns of the configured finders, by name, in the order of their precedence.
+STANDARD = {
+    "year_first": r"^(1[5-9]|20)[0-9]{2}\b.*$",
+    "year_last": r"^.*\b(1[5-9]|20)[0-9]{2}$",
+    "number_first": NUM_PREFIX,
+    "number_last": NUM_SUFFIX,
+    "acronym": r"^[A-Z]{2,4}$",
+    "time": r"^[0-9]{1,2}[:.][0-9]{2}([:.][0-9]{2})?( ?[ap]m)?$",
+    "round": r"^(?i)(round|week|day|game|match|leg|heat|stage|set) ?[0-9IVX]+$",
+    "ordinal": r"^[0-9]+(st|nd|rd|th)$",
+    "month": r"^(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?( [0-9]{1,4})?$",
+}
+
+
+def found_by_standard(headers: DataFrame) -> DataFrame:
+    """Positions of all configured finders."""
+    frames = [found_by_pattern(headers, name, pattern, i) for i, (name, pattern) in enumerate(STANDARD.items())]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def valid_pivots(pivots: DataFrame, headers: DataFrame) -> DataFrame:
+    """Pivots that unpivoting has a meaning for: some column stays outside, and the header cells inside are texts, not all of them equal."""
+    row = headers.join(pivots, ["header_id", "level"])
+    inside = F.col("ci").between(F.col("colfrom"), F.col("colto"))
+    fit = row.groupBy("header_id").agg(F.count_if(~inside).alias("ids"), F.count_if(inside & (F.trim("text") == "")).alias("empty"), F.count_distinct(F.when(inside, F.col("text"))).alias("kinds"))
+    return pivots.join(fit.filter("ids > 0 AND empty = 0 AND kinds > 1").select("header_id"), "header_id", "left_semi")

@@ -88,20 +88,24 @@ class TableSet:
         df = df.withColumn("num_cols", F.coalesce(F.array_max(F.transform("body", lambda r: F.size(r))), F.lit(0))).withColumn("num_rows", F.size("body"))
         return self.with_(df.drop("long_body", "level", "colfrom", "colto"))
 
-    def cluster(self, agg_threshold: float = 0.0, agg_threshold_col: float = 0.0, edge_exp: float = 1.0, max_cluster_size: int = 250, how: str = "jacc", matchers: dict | None = None, agg_func: str = "mean") -> TableSet:
+    def cluster(self, agg_threshold: float = 0.0, agg_threshold_col: float = 0.0, edge_exp: float = 1.0, max_cluster_size: int = 250, how: str = "jacc", matchers: dict | None = None, agg_func: str = "mean", filters: tuple[str, ...] = ()) -> TableSet:
         """Tables that share a schema: similar columns, greedy alignment, communities, column clusters; adds ``partitions``, ``col_clusters`` and ``stitched``.
 
-        ``matchers`` are column scores by name: DataFrames (ti1, ti2, ci1, ci2, score), or functions that make one from cells (ti, ci, text) and
-        blocks of tables; by default ``cell`` alone, the best Jaccard of two cells.  ``agg_func`` is an expression over their names.  Columns
-        without a partner in their partition are clusters of their own.
+        ``matchers`` are column scores by name: ``similarity.Matcher``s, DataFrames (ti1, ti2, ci1, ci2, score), or functions that make one from
+        cells (ti, ci, text) and blocks of tables; by default ``cell`` alone, the best Jaccard of two cells.  ``agg_func`` is an expression over
+        their names; pairs must have a score over 0 by each matcher named in ``filters``.  Columns without a partner in their partition are
+        clusters of their own.
         """
         t = written(C.number_columns(self.tables), "numbered")  # read several times below
-        body = C.to_cells(t).filter("section = 'body'").join(t.select("table_id", F.col("table_index").alias("ti"), "col_offset"), "table_id")
+        every = C.to_cells(t).join(t.select("table_id", F.col("table_index").alias("ti"), "col_offset"), "table_id")
+        body = every.filter("section = 'body'")
         flat = body.select("ti", "ci", "text").distinct()
         block = similarity.cell_block(flat)
         matchers = matchers or {"cell": similarity.cell_jaccard}
-        pairs = C.concat(*[(m(flat, block) if callable(m) else m).select(*similarity.PAIR, "score", F.lit(name).alias("matcher")) for name, m in matchers.items()])
+        pairs = C.concat(*[(m.matches(every) if isinstance(m, similarity.Matcher) else m(flat, block) if callable(m) else m).select(*similarity.PAIR, "score", F.lit(name).alias("matcher")) for name, m in matchers.items()])
         pairs = pairs.select("ti1", "ti2", "ci1", "ci2", F.col("score").cast("double").alias("score"), "matcher").filter("ti1 < ti2")
+        for name in filters:
+            pairs = similarity.kept_by(pairs, pairs.filter(F.col("matcher") == name))
         scores = similarity.wide_scores(pairs, list(matchers)).select(*similarity.PAIR, similarity.score_expression(agg_func, list(matchers)).alias("score")).filter("score IS NOT NULL")
         scores = written(scores, "scores")  # read more than once below
         sims = similarity.normalised(similarity.greedy_alignment(scores), t.select(F.col("table_index").alias("ti"), F.col("num_cols").alias("n")), how).filter(F.col("sim") > agg_threshold)
@@ -113,8 +117,8 @@ class TableSet:
         gci = inside.join(off.withColumnsRenamed({"ti": "ti1", "col_offset": "o1"}), "ti1").join(off.withColumnsRenamed({"ti": "ti2", "col_offset": "o2"}), "ti2")
         found = gci.select("part", (F.col("o1") + F.col("ci1")).cast("bigint").alias("c1"), (F.col("o2") + F.col("ci2")).cast("bigint").alias("c2"), "score")
         width = t.select(F.col("table_index").alias("ti"), "col_offset", "num_cols").filter("num_cols > 0")
-        every = parts.join(width, "ti").select("part", F.explode(F.expr("sequence(0, CAST(num_cols AS INT) - 1)")).alias("ci"), "col_offset").select("part", (F.col("col_offset") + F.col("ci")).cast("bigint").alias("c"))
-        clusters = cluster.column_clusters(found.unionByName(every.select("part", F.col("c").alias("c1"), F.col("c").alias("c2"), F.lit(1.0).alias("score"))))
+        own = parts.join(width, "ti").select("part", F.explode(F.expr("sequence(0, CAST(num_cols AS INT) - 1)")).alias("ci"), "col_offset").select("part", (F.col("col_offset") + F.col("ci")).cast("bigint").alias("c"))
+        clusters = cluster.column_clusters(found.unionByName(own.select("part", F.col("c").alias("c1"), F.col("c").alias("c2"), F.lit(1.0).alias("score"))))
         clusters = written(clusters, "clusters")
         stitched = cluster.stitch(body.withColumn("gci", (F.col("col_offset") + F.col("ci")).cast("bigint")).select("table_id", "ri", "gci", "text"), clusters)
         return self.with_(partitions=parts.join(t.select("table_id", F.col("table_index").alias("ti")), "ti").select("table_id", "part"), col_clusters=clusters, stitched=stitched)

@@ -129,3 +129,9 @@ def preview(tables: DataFrame, n_tables: int = 5, n_rows: int = 5, n_chars: int
         row = lambda r, tag: "<tr>" + "".join(f"<{tag}>{html.escape((c or '')[:n_chars])}</{tag}>" for c in r) + "</tr>"
         out.append(f"<h3>{html.escape(t['table_id'])}</h3><table>" + "".join(row(r, "th") for r in t["head"]) + "".join(row(r, "td") for r in t["body"][:n_rows]) + "</table>")
     return "\n".join(out)
+
+
+def save(df: DataFrame, path: str) -> DataFrame:
+    """Any relation of a step (annotations, signatures of a matcher) as Parquet, read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
