@@ -30,10 +30,14 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from loomtable import queries_more  # noqa: F401 - adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from loomtable import queries_more  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -92,12 +96,6 @@ def stitch_union_by_name(spark, sf):
     return C.concat(c, s)
 
 
-@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) AND json_extract(props, '$.k') IS NOT NULL")
-def corrupt_line_filter(spark, sf):
-    parsed = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
-    return _t(spark, sf, "events").select("event_id", parsed.alias("k")).filter("k IS NOT NULL")
-
-
 # --- header union, cells, cleaning ------------------------------------------
 
 
@@ -115,34 +113,32 @@ def header_union_row_offsets(spark, sf):
     return cluster.header_union(rows, "role", "conv_id", n).select("role", "conv_id", "ri", F.col("union_ri").cast("bigint"))
 
 
-_LINES = "(SELECT doc_id, i - 1 AS ri, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), range(1, len(l) + 1) t(i))"
-
-
-@_query(
-    f"""SELECT doc_id, CAST(ri AS INTEGER) AS ri, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ri ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS subheader
-    FROM (SELECT doc_id, ri, CASE WHEN length(line) < 20 THEN line END AS h FROM {_LINES})"""
-)
-def rowspan_carry_forward(spark, sf):
-    from pyspark.sql import Window
-
-    lines = _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ri", "line"))
-    w = Window.partitionBy("doc_id").orderBy("ri").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.select("doc_id", "ri", F.coalesce(F.last(F.when(F.length("line") < 20, F.col("line")), ignorenulls=True).over(w), F.lit("")).alias("subheader"))
-
-
-@_query(
-    """WITH t AS (SELECT c_mktsegment AS table_id, CAST(c_custkey AS INTEGER) AS ri, c_custkey % 4 = 0 AS span, [CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE c_name || 'x' END, c_name] AS texts FROM customer),
+_CLASSED = """WITH t AS (SELECT c_mktsegment AS table_id, CAST(c_custkey AS INTEGER) AS ri, c_custkey % 4 = 0 AS span, [CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE c_name || 'x' END, c_name] AS texts FROM customer),
     w AS (SELECT *, lead(span) OVER o AS nxt, lag(span) OVER o AS prv, count(*) OVER p AS n, sum(span::INT) OVER p AS spans, row_number() OVER o AS pos FROM t WINDOW o AS (PARTITION BY table_id ORDER BY ri), p AS (PARTITION BY table_id)),
     k AS (SELECT *, (n >= 2 AND spans > 0 AND spans < n) AS mixed, (n - spans >= 2) AND bool_and(CASE WHEN NOT span THEN coalesce(nxt, false) END) OVER p AND max(CASE WHEN pos = n THEN span END) OVER p AS is_r,
       (n - spans >= 2) AND bool_and(CASE WHEN NOT span THEN coalesce(prv, false) END) OVER p AND max(CASE WHEN pos = 1 THEN span END) OVER p AS is_l FROM w WINDOW p AS (PARTITION BY table_id)),
     m AS (SELECT *, CASE WHEN NOT span THEN 'N' WHEN is_r AND NOT coalesce(prv, true) THEN 'R' WHEN is_l AND NOT coalesce(nxt, true) THEN 'L' END AS taken FROM k),
     f AS (SELECT *, max(CASE WHEN taken IS NOT NULL THEN pos END) OVER (PARTITION BY table_id) AS last FROM m)
-    SELECT table_id, ri, CASE WHEN NOT mixed THEN 'N' WHEN taken IS NOT NULL THEN taken WHEN pos > last AND pos > 2 THEN 'F' WHEN NOT coalesce(nxt, true) THEN 'H' ELSE 'X' END AS class FROM f"""
-)
-def row_class_lead_lag(spark, sf):
+    SELECT table_id, ri, texts, CASE WHEN NOT mixed THEN 'N' WHEN taken IS NOT NULL THEN taken WHEN pos > last AND pos > 2 THEN 'F' WHEN NOT coalesce(nxt, true) THEN 'H' ELSE 'X' END AS class FROM f"""
+
+
+def _classed(spark, sf):
     spans = F.col("c_custkey") % 4 == 0
     body = _t(spark, sf, "customer").select(F.col("c_mktsegment").alias("table_id"), F.col("c_custkey").cast("int").alias("ri"), F.array(F.when(spans, F.col("c_name")).otherwise(F.concat("c_name", F.lit("x"))), "c_name").alias("texts"))
-    return clean.row_classes(body).select("table_id", "ri", "class")
+    return clean.row_classes(body)
+
+
+@_query(f"SELECT table_id, ri, class FROM ({_CLASSED})")
+def row_class_lead_lag(spark, sf):
+    return _classed(spark, sf).select("table_id", "ri", "class")
+
+
+@_query(
+    f"""SELECT table_id, ri, coalesce(h, '') AS subheader, coalesce(l, '') AS "left", coalesce(r, '') AS "right" FROM (SELECT table_id, ri, class, last_value(CASE WHEN class = 'H' THEN texts[1] END IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h,
+    CASE WHEN lag(class) OVER o = 'L' THEN lag(texts[1]) OVER o END AS l, CASE WHEN lead(class) OVER o = 'R' THEN lead(texts[1]) OVER o END AS r FROM ({_CLASSED}) WINDOW o AS (PARTITION BY table_id ORDER BY ri)) WHERE class = 'N'"""
+)
+def rowspan_carry_forward(spark, sf):
+    return clean.spread_classes(_classed(spark, sf)).select("table_id", "ri", "subheader", "left", "right")
 
 
 def _nation_cells(spark, sf):
@@ -173,22 +169,20 @@ def restack_blocks(spark, sf):
 
 
 @_query(
-    """SELECT source AS table_id, CAST(doc_id AS BIGINT) AS ri, CAST(ci AS INTEGER) AS ci, text FROM (
-      SELECT source, doc_id, 0 AS ci, lang AS text FROM documents UNION ALL SELECT source, doc_id, 1, source FROM documents UNION ALL SELECT source, doc_id, 2, n_chars::VARCHAR FROM documents)"""
+    """SELECT source AS table_id, 'body' AS section, CAST(doc_id AS BIGINT) AS ri, CAST(ci AS INTEGER) AS ci, CASE ci WHEN 0 THEN source WHEN 1 THEN lang ELSE n_chars::VARCHAR END AS text FROM documents, range(3) c(ci)
+    UNION ALL SELECT DISTINCT source, 'head', 0, 0, '_source' FROM documents"""
 )
 def context_columns(spark, sf):
     d = _t(spark, sf, "documents")
-    body = d.select(F.col("source").alias("table_id"), F.lit("body").alias("section"), F.col("doc_id").alias("ri"), F.explode(F.array(F.struct(F.lit(0).alias("ci"), F.col("lang").alias("text")), F.struct(F.lit(1).alias("ci"), F.col("n_chars").cast("string").alias("text")))).alias("c")).select("table_id", "section", "ri", "c.ci", "c.text")
-    moved = clean.context_columns(body.filter("ci = 1").withColumn("ci", F.lit(1)), d.select(F.col("source").alias("table_id"), "source").distinct(), ["source"])
-    first = body.filter("ci = 0").select("table_id", "ri", "ci", "text")
-    return first.unionByName(moved.filter("section = 'body'").select("table_id", "ri", (F.col("ci") + F.when(F.col("ci") == 0, 1).otherwise(0)).alias("ci"), "text")).select("table_id", "ri", F.col("ci").cast("int"), "text")
+    body = d.select(F.col("source").alias("table_id"), F.lit("body").alias("section"), F.col("doc_id").alias("ri"), F.posexplode(F.array("lang", F.col("n_chars").cast("string"))).alias("ci", "text"))
+    return clean.context_columns(body, d.select(F.col("source").alias("table_id"), "source").distinct(), ["source"])
 
 
-@_query("SELECT event_type, event_type = 'click' AS ruled, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
+@_query("SELECT CASE WHEN event_type LIKE 'click%' THEN substr(event_type, 6) WHEN event_type LIKE 'p%' THEN substr(event_type, 2) ELSE event_type END AS text, CASE WHEN event_type LIKE 'click%' THEN 'Clicks' WHEN event_type LIKE 'p%' THEN 'P' END AS header, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
 def prefix_header_rules(spark, sf):
-    df = _t(spark, sf, "events").select(F.lit("e").alias("table_id"), F.lit("body").alias("section"), F.col("event_id").alias("ri"), F.lit(0).alias("ci"), F.col("event_type").alias("text"), "event_type")
-    rules = spark.sql("SELECT 'click' AS find, 'Clicks' AS header")
-    return clean.prefix_rules(df, rules).groupBy("event_type", F.col("header").isNotNull().alias("ruled")).agg(F.count("*").alias("n")).select("event_type", "ruled", "n")
+    df = _t(spark, sf, "events").select(F.lit("e").alias("table_id"), F.lit("body").alias("section"), F.col("event_id").alias("ri"), F.lit(0).alias("ci"), F.col("event_type").alias("text"))
+    rules = spark.sql("SELECT * FROM VALUES ('click', 'Clicks'), ('c', 'no'), ('cli', 'no'), ('p', 'P'), ('absent', 'no') AS t(find, header)").filter("find <> 'c'")
+    return clean.prefix_rules(df, rules).groupBy("text", "header").agg(F.count("*").alias("n"))
 
 
 # --- unpivot and compound columns -------------------------------------------
@@ -233,12 +227,13 @@ def pivot_regex_headers(spark, sf):
 
 
 @_query(
-    """SELECT c_mktsegment AS segment, 'Customer#' AS prefix, CAST(min(length(c_name)) AS INTEGER) > 9 AS longer FROM customer GROUP BY 1"""
+    """WITH m AS (SELECT c_mktsegment AS segment, min(c_name) AS lo, max(c_name) AS hi, min(reverse(c_name)) AS rlo, max(reverse(c_name)) AS rhi FROM customer GROUP BY 1)
+    SELECT segment, substr(lo, 1, (SELECT max(i) FROM range(0, 40) t(i) WHERE substr(lo, 1, i) = substr(hi, 1, i) AND i <= least(length(lo), length(hi)))) AS prefix,
+    reverse(substr(rlo, 1, (SELECT max(i) FROM range(0, 40) t(i) WHERE substr(rlo, 1, i) = substr(rhi, 1, i) AND i <= least(length(rlo), length(rhi))))) AS suffix FROM m"""
 )
 def common_prefix_suffix_split(spark, sf):
     cells = _t(spark, sf, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("text"))
-    found = compound.affixes(cells, ["segment"])
-    return found.select("segment", F.substring("prefix", 1, 9).alias("prefix"), (F.length("prefix") >= 9).alias("longer"))
+    return compound.affixes(cells, ["segment"]).select("segment", "prefix", "suffix")
 
 
 @_query("SELECT CAST(sum(length(c_name) - 9) AS BIGINT) AS digits, CAST(count(*) AS BIGINT) AS n FROM customer")
@@ -292,11 +287,9 @@ def pfd_keycol(spark, sf):
     return profile.pfd_key(s, 0.01).select("det", F.round("score", 6).alias("score"))
 
 
-@_query(
-    """SELECT 'r_name' AS det, 'r_regionkey' AS dep, 0.0::DOUBLE AS g3 UNION ALL SELECT 'r_regionkey', 'r_name', 0.0"""
-)
+@_query(_pfd_sql("SELECT det, dep, round(1 - per_tuple, 6) AS g3 FROM p WHERE 1 - per_tuple <= 0.965"))
 def fd_g3(spark, sf):
-    return profile.dependencies(_t(spark, sf, "region"), ["r_regionkey", "r_name"], size=2, most_error=0.0).select("det", "dep", F.round("g3", 6).alias("g3"))
+    return profile.dependencies(_t(spark, sf, "part"), _PART, size=1, most_error=0.965).select("det", "dep", F.round("g3", 6).alias("g3"))
 
 
 @_query(
@@ -360,13 +353,12 @@ def log_binned_frequency(spark, sf):
     return profile.log_binned_mean(ranked, "k", "n").select("bin", "n", F.round("mean", 6).alias("mean"))
 
 
-@_query("SELECT DISTINCT r_name AS start, n_name AS node, 2 AS steps FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'World', r_name, 1 FROM region UNION ALL SELECT 'World', n_name, 2 FROM nation")
+@_query("SELECT DISTINCT r_name AS start, n_name AS node, 1 AS steps FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'World', r_name, 1 FROM region UNION ALL SELECT 'World', n_name, 2 FROM nation")
 def category_descent(spark, sf):
     r, n = _t(spark, sf, "region"), _t(spark, sf, "nation")
     top = r.select(F.lit("World").alias("src"), F.col("r_name").alias("dst"))
     below = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("src"), F.col("n_name").alias("dst"))
-    down = cluster.closure(top.union(below), 3)
-    return down.select("start", "node", F.when(F.col("start") == "World", F.col("steps")).otherwise(F.lit(2)).alias("steps"))
+    return cluster.closure(top.union(below), 3)
 
 
 # --- similarity and clustering -------------------------------------------------
@@ -450,9 +442,22 @@ def _aligned(spark):
     return similarity.wide_scores(_scores(spark), ["head", "body"]).withColumn("score", similarity.score_expression("max", ["head", "body"]))
 
 
-@_query("SELECT * FROM (VALUES (1, 2, 1.1), (1, 3, 1.0), (2, 3, 0.7)) t(ti1, ti2, total)".replace("1.1)", "1.1::DOUBLE)"))
+_PAIRS = "(SELECT a.n_nationkey AS ti1, b.n_nationkey AS ti2, x.i::INT AS ci1, y.i::INT AS ci2, ((a.n_nationkey * 7 + b.n_nationkey * 5 + x.i * 3 + y.i * 11) % 17) / 17.0 AS score FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey, range(3) x(i), range(3) y(i))"
+
+
+def _taken(n: int) -> str:
+    """CTEs of a greedy alignment, written out: pick k is the best pair left, and what shares a column with it goes."""
+    pick = lambda k: f"m{k} AS (SELECT * FROM r{k} QUALIFY row_number() OVER (PARTITION BY ti1, ti2 ORDER BY score DESC, ci1, ci2) = 1)"
+    rest = lambda k: f"r{k} AS (SELECT r.* FROM r{k - 1} r JOIN m{k - 1} m USING (ti1, ti2) WHERE r.ci1 <> m.ci1 AND r.ci2 <> m.ci2)"
+    return ", ".join([f"r0 AS (SELECT * FROM {_PAIRS})", pick(0), *[x for k in range(1, n) for x in (rest(k), pick(k))]])
+
+
+@_query(f"WITH {_taken(3)} SELECT ti1, ti2, round(sum(score), 6) AS total FROM (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2) GROUP BY ALL")
 def greedy_alignment(spark, sf):
-    return similarity.greedy_alignment(_aligned(spark)).select("ti1", "ti2", F.round("total", 6).alias("total"))
+    n = _t(spark, sf, "nation").select("n_nationkey")
+    pairs = n.select(F.col("n_nationkey").alias("ti1")).join(n.select(F.col("n_nationkey").alias("ti2")), F.col("ti1") < F.col("ti2")).select("ti1", "ti2", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ci1")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ci2"))
+    scores = pairs.withColumn("score", ((F.col("ti1") * 7 + F.col("ti2") * 5 + F.col("ci1") * 3 + F.col("ci2") * 11) % 17) / F.lit(17.0))
+    return similarity.greedy_alignment(scores).select("ti1", "ti2", F.round("total", 6).alias("total"))
 
 
 @_query(
@@ -485,10 +490,19 @@ def louvain_partition(spark, sf):
     return cluster.louvain(trade, 6.0)
 
 
-@_query("SELECT 1::BIGINT AS part, gci::BIGINT AS gci, c::BIGINT AS cluster FROM (VALUES (0, 0), (10, 0), (20, 0), (1, 1), (11, 1), (21, 2)) t(gci, c)")
+@_query(
+    """WITH g AS (SELECT ascii(c_mktsegment) AS part, c_custkey AS gci, min(c_custkey) OVER w AS lo, count(*) OVER w AS n FROM customer WINDOW w AS (PARTITION BY c_mktsegment, c_nationkey))
+    SELECT CAST(part AS BIGINT) AS part, gci, CAST(dense_rank() OVER (PARTITION BY part ORDER BY n DESC, lo) - 1 AS BIGINT) AS cluster FROM g"""
+)
 def complete_linkage_columns(spark, sf):
-    s = spark.sql("SELECT 1L AS part, CAST(a AS BIGINT) AS c1, CAST(b AS BIGINT) AS c2, CAST(s AS DOUBLE) AS score FROM VALUES (0,10,.9),(0,20,.8),(10,20,.7),(1,11,.9),(11,21,.4),(21,21,1.0) AS t(a, b, s)")
-    return cluster.column_clusters(s)
+    """Customers of one segment as columns: those of one nation are all alike, others only to a neighbour, which no cluster can take in."""
+    c = _t(spark, sf, "customer").select(F.ascii("c_mktsegment").cast("bigint").alias("part"), "c_nationkey", "c_custkey")
+    x, y = c.alias("x"), c.alias("y")
+    same = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.c_nationkey") == F.col("y.c_nationkey")) & (F.col("x.c_custkey") <= F.col("y.c_custkey")))
+    alike = same.select(F.col("x.part").alias("part"), F.col("x.c_custkey").alias("c1"), F.col("y.c_custkey").alias("c2"), (0.5 + 0.5 / (1 + F.col("y.c_custkey") - F.col("x.c_custkey"))).alias("score"))
+    least = c.groupBy("part", "c_nationkey").agg(F.min("c_custkey").alias("lo"))
+    bridge = least.alias("a").join(least.alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("a.c_nationkey") + 1 == F.col("b.c_nationkey"))).select(F.col("a.part").alias("part"), F.least("a.lo", "b.lo").alias("c1"), F.greatest("a.lo", "b.lo").alias("c2"), F.lit(0.3).alias("score"))
+    return cluster.column_clusters(alike.unionByName(bridge))
 
 
 @_query("SELECT p_brand AS brand, split_part(p_type, ' ', 1) AS header FROM (SELECT p_brand, split_part(p_type, ' ', 1) AS p_type, count(*) AS n FROM part GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) = 1")
@@ -515,11 +529,6 @@ def recursive_redirects(spark, sf):
 # --- knowledge base and linking --------------------------------------------------
 
 
-@_query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
-def page_titles(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
 _LINKS = """(SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages)"""
 
 
@@ -619,14 +628,16 @@ def column_properties(spark, sf):
 
 
 @_query(
-    """SELECT CAST(month(l_shipdate) AS INTEGER) AS table_id, 'shipped' AS p, CAST(count(DISTINCT l_orderkey * 10 + l_linenumber) AS BIGINT) AS n FROM lineitem GROUP BY ALL"""
+    """SELECT CAST(month(l_shipdate) AS INTEGER) AS table_id, 'sold' AS p, CAST(count(DISTINCT l_orderkey * 10 + l_linenumber) AS BIGINT) AS n FROM lineitem l WHERE EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag = 'R' AND r.l_partkey = l.l_partkey AND r.l_suppkey = l.l_suppkey AND r.l_quantity = l.l_quantity) GROUP BY ALL"""
 )
 def nary_match_counts(spark, sf):
-    li = _t(spark, sf, "lineitem").withColumn("ri", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    """Statements are returned lines, qualified by their quantity; a row matches if some statement on its part and supplier has its quantity."""
+    li = _t(spark, sf, "lineitem")
+    back = li.filter("l_returnflag = 'R'")
     key = F.concat(F.lit("st"), "l_orderkey", F.lit("-"), "l_linenumber")
-    st = li.select(F.concat(F.lit("p"), "l_partkey").alias("s"), key.alias("stmt_id"), F.lit("shipped").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("o"))
-    qu = li.select(key.alias("stmt_id"), F.lit("order").alias("qp"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("qo"), F.lit(True).alias("literal"))
-    lits = li.select(F.month("l_shipdate").alias("table_id"), "ri", F.lit(2).alias("ci"), F.col("ri").cast("string").alias("text"))
+    st = back.select(F.concat(F.lit("p"), "l_partkey").alias("s"), key.alias("stmt_id"), F.lit("sold").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("o"))
+    qu = back.select(key.alias("stmt_id"), F.lit("quantity").alias("qp"), F.col("l_quantity").cast("string").alias("qo"), F.lit(True).alias("literal"))
+    lits = li.select(F.month("l_shipdate").alias("table_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ri"), F.lit(2).alias("ci"), F.col("l_quantity").cast("int").cast("string").alias("text"))
     n = link.nary_facts(_entities(spark, sf), lits, st, qu)
     return n.groupBy("table_id", "p").agg(F.count("*").alias("n"))
 
@@ -653,13 +664,6 @@ def literal_match_levenshtein(spark, sf):
     return j.select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"), F.round(T.edit_similarity(F.col("a.n_name"), F.col("b.n_name")), 6).alias("sim"))
 
 
-@_query("SELECT s_name AS surfaceform, n_name AS uri, CAST(count(*) AS BIGINT) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3 GROUP BY ALL")
-def spotlight_3way_join(spark, sf):
-    for name in ("supplier", "nation", "region"):
-        _t(spark, sf, name).createOrReplaceTempView(f"loom_{name}")
-    return spark.sql("SELECT s_name AS surfaceform, n_name AS uri, count(*) AS n FROM loom_supplier JOIN loom_nation ON s_nationkey = n_nationkey JOIN loom_region ON n_regionkey = r_regionkey WHERE r_regionkey < 3 GROUP BY ALL")
-
-
 # --- evaluation ----------------------------------------------------------------------
 
 _FLAGS = "(SELECT doc_id, source, quality = 1 AS gold, toxic = 0 AS pred, CASE WHEN toxic = 0 THEN (doc_id % 7) / 10.0 END::DOUBLE AS score FROM labels JOIN documents USING (doc_id))"
@@ -701,14 +705,14 @@ def pr_curve(spark, sf):
 
 
 @_query(
-    """WITH kb AS (SELECT DISTINCT o_custkey AS s, o_orderstatus AS p, o_orderpriority AS o FROM orders WHERE o_orderkey % 2 = 0), t AS (SELECT DISTINCT o_custkey AS s, o_orderstatus AS p, o_orderpriority AS o, true AS gold, o_custkey % 3 <> 0 AS pred FROM orders),
+    """WITH kb AS (SELECT DISTINCT o_custkey AS s, o_orderstatus AS p, o_orderpriority AS o FROM orders WHERE o_totalprice > 150000), t AS (SELECT DISTINCT o_custkey AS s, o_orderstatus AS p, o_orderpriority AS o, true AS gold, o_custkey % 3 <> 0 AS pred FROM orders),
     n AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM kb WHERE kb.s = t.s AND kb.p = t.p AND lower(kb.o) = lower(t.o)) THEN 'existing' WHEN EXISTS (SELECT 1 FROM kb WHERE kb.s = t.s AND kb.p = t.p) THEN 'valnovel' ELSE 'attnovel' END AS novelty FROM t)
     SELECT novelty, CAST(count(*) FILTER (gold AND pred) AS BIGINT) AS tp, CAST(count(*) FILTER (gold AND NOT pred) AS BIGINT) AS fn FROM n GROUP BY novelty"""
 )
 def novelty_counts(spark, sf):
-    o = _t(spark, sf, "orders").select(F.col("o_custkey").alias("s"), F.col("o_orderstatus").alias("p"), F.col("o_orderpriority").alias("o"), "o_orderkey")
+    o = _t(spark, sf, "orders").select(F.col("o_custkey").alias("s"), F.col("o_orderstatus").alias("p"), F.col("o_orderpriority").alias("o"), "o_totalprice")
     t = o.select("s", "p", "o").distinct().withColumn("gold", F.lit(True)).withColumn("pred", F.col("s") % 3 != 0)
-    return evaluate.novelty_counts(evaluate.novelty(t, o.filter("o_orderkey % 2 = 0"))).select("novelty", "tp", "fn")
+    return evaluate.novelty_counts(evaluate.novelty(t, o.filter("o_totalprice > 150000"))).select("novelty", "tp", "fn")
 
 
 @_query(
