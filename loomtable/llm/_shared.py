@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomtable.operators.scratch import dropped, dropped_since, mark, scratch, shared_dir, written
 from loomtable.operators.skew import salted_join
 
-__all__ = ["ascii_lower", "batches_of", "dropped", "dropped_since", "has", "mark", "packed", "salted_join", "scratch", "shared_dir", "table", "unpacked", "written"]
+__all__ = ["ascii_lower", "batches_of", "dropped", "dropped_since", "has", "mark", "packed", "salted_join", "scratch", "shared_dir", "small_batches", "table", "unpacked", "written"]
 
 
 def ship() -> None:
@@ -50,9 +50,22 @@ def has(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session sends Python workers batches of at most ``BATCH_ROWS`` rows: batches hold whole texts, and their memory, on both sides, is not part of the heap.  A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def packed(df: DataFrame, text: str) -> DataFrame:
     """All columns but the text as one struct ``row``, and the text as string ``text``: names in ``df`` can't clash with those an operator adds."""
     has(df, text)
+    small_batches(df.sparkSession)
     rest = [F.col(f"`{c}`") for c in df.columns if c != text]
     row = F.struct(*rest) if rest else F.struct(F.lit(0).alias("_"))
     return df.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text"))

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtable.llm import _kernel as K
-from loomtable.llm._shared import batches_of, dropped, has, packed, salted_join, table, unpacked, written
+from loomtable.llm._shared import batches_of, dropped, has, packed, salted_join, small_batches, table, unpacked, written
 from loomtable.operators import cluster
 
 BANDS, ROWS = 32, 5
@@ -309,8 +309,8 @@ def _joins(percent: int):
 def link_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, split: str = "alnum") -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows have id, n_shingles, digest; classes have node, digest, id (smallest), n_rows and, where linked with another class, comp (a node; else null)."""
     how = {"id_col": id_col, "text": text, "k": k, "split": split, "percent": percent}
-    with batches_of(docs.sparkSession, 1000):
-        rows = written(sketch(docs, id_col, text, k, split), "sketch")
+    small_batches(docs.sparkSession)
+    rows = written(sketch(docs, id_col, text, k, split), "sketch")
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(
         F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("best"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")
     )
