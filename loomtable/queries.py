@@ -500,7 +500,7 @@ def complete_linkage_columns(spark, sf):
     x, y = c.alias("x"), c.alias("y")
     same = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.c_nationkey") == F.col("y.c_nationkey")) & (F.col("x.c_custkey") <= F.col("y.c_custkey")))
     alike = same.select(F.col("x.part").alias("part"), F.col("x.c_custkey").alias("c1"), F.col("y.c_custkey").alias("c2"), (0.5 + 0.5 / (1 + F.col("y.c_custkey") - F.col("x.c_custkey"))).alias("score"))
-    least = c.groupBy("part", "c_nationkey").agg(F.min("c_custkey").alias("lo"))
+    least = c.groupBy("part", "c_nationkey").agg(F.min("c_custkey").alias("lo"), F.count("*").alias("n")).filter("n > 1")  # two that stand alone would be alike
     bridge = least.alias("a").join(least.alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("a.c_nationkey") + 1 == F.col("b.c_nationkey"))).select(F.col("a.part").alias("part"), F.least("a.lo", "b.lo").alias("c1"), F.greatest("a.lo", "b.lo").alias("c2"), F.lit(0.3).alias("score"))
     return cluster.column_clusters(alike.unionByName(bridge))
 
@@ -628,7 +628,8 @@ def column_properties(spark, sf):
 
 
 @_query(
-    """SELECT CAST(month(l_shipdate) AS INTEGER) AS table_id, 'sold' AS p, CAST(count(DISTINCT l_orderkey * 10 + l_linenumber) AS BIGINT) AS n FROM lineitem l WHERE EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag = 'R' AND r.l_partkey = l.l_partkey AND r.l_suppkey = l.l_suppkey AND r.l_quantity = l.l_quantity) GROUP BY ALL"""
+    """WITH c AS (SELECT month(l_shipdate) AS t, l_orderkey * 10 + l_linenumber AS ri, l_partkey AS p, l_suppkey AS s, l_quantity AS q FROM lineitem), r AS (SELECT DISTINCT x.l_partkey AS p, x.l_suppkey AS s, y.l_quantity AS q FROM lineitem x JOIN lineitem y USING (l_orderkey, l_linenumber) WHERE x.l_returnflag = 'R' AND y.l_returnflag = 'R')
+    SELECT CAST(t AS INTEGER) AS table_id, 'sold' AS p, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT a.t, a.ri FROM c a JOIN c b ON a.t = b.t AND a.ri = b.ri JOIN c d ON a.t = d.t AND a.ri = d.ri JOIN r ON r.p = a.p AND r.s = b.s AND r.q = d.q) GROUP BY t"""
 )
 def nary_match_counts(spark, sf):
     """Statements are returned lines, qualified by their quantity; a row matches if some statement on its part and supplier has its quantity."""
@@ -637,7 +638,7 @@ def nary_match_counts(spark, sf):
     key = F.concat(F.lit("st"), "l_orderkey", F.lit("-"), "l_linenumber")
     st = back.select(F.concat(F.lit("p"), "l_partkey").alias("s"), key.alias("stmt_id"), F.lit("sold").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("o"))
     qu = back.select(key.alias("stmt_id"), F.lit("quantity").alias("qp"), F.col("l_quantity").cast("string").alias("qo"), F.lit(True).alias("literal"))
-    lits = li.select(F.month("l_shipdate").alias("table_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ri"), F.lit(2).alias("ci"), F.col("l_quantity").cast("int").cast("string").alias("text"))
+    lits = li.select(F.month("l_shipdate").alias("table_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ri"), F.lit(2).alias("ci"), F.format_string("%.2f", "l_quantity").alias("text"))
     n = link.nary_facts(_entities(spark, sf), lits, st, qu)
     return n.groupBy("table_id", "p").agg(F.count("*").alias("n"))
 
