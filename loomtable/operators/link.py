@@ -203,7 +203,7 @@ def by_fact_count(candidates: DataFrame, triples: DataFrame) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("facts"), "uri")))
 
 
-def search_words(queries: DataFrame, labels: DataFrame, refs: DataFrame | None = None, context: DataFrame | None = None, k: int = 10, most_df: int = 10_000) -> DataFrame:
+def search_words(queries: DataFrame, labels: DataFrame, refs: DataFrame | None = None, context: DataFrame | None = None, k: int = 10, most_df: int | None = None) -> DataFrame:
     """Candidates by shared words: (text, uri, score, rank).
 
     A word weighs ``ln(1 + labels / labels with the word)``; a label scores the
@@ -211,9 +211,9 @@ def search_words(queries: DataFrame, labels: DataFrame, refs: DataFrame | None =
     whole label is the query, times the root of its own score; then comes
     ``ln(1 + references)`` at a tenth (refs: uri, refs) and 0.2 for each fact
     value of the entity (context: uri, value) among the query's context words
-    (queries: text, context).  Only words of at most ``most_df`` labels search
-    (commoner ones still count in the score); a query of such words alone falls
-    back on its rarest word, so no query is without a search.
+    (queries: text, context).  Every shared word makes a candidate.  With
+    ``most_df`` the search is quicker but no longer whole: words of more labels
+    than that only count in the score, but for a query's rarest word.
     """
     words = lambda df, key, text: df.select(*key, F.explode(T.tokens(F.col(text))).alias("word"))
     lab = labels.select("uri", "txt", "score").withColumn("lid", F.xxhash64("uri", "txt"))
@@ -223,8 +223,10 @@ def search_words(queries: DataFrame, labels: DataFrame, refs: DataFrame | None =
     lw = written(lw.join(weight, "word"), "label-words")
     q = queries.select("text").distinct()
     qw = written(words(q, ["text"], "text").distinct().join(weight, "word"), "query-words")
-    rarest = Window.partitionBy("text").orderBy("df", "word")
-    asks = qw.withColumn("place", F.row_number().over(rarest)).filter((F.col("df") <= most_df) | (F.col("place") == 1))
+    asks = qw
+    if most_df is not None:
+        rarest = Window.partitionBy("text").orderBy("df", "word")
+        asks = qw.withColumn("place", F.row_number().over(rarest)).filter((F.col("df") <= most_df) | (F.col("place") == 1))
     met = asks.select("text", "word").join(lw.select("word", "lid"), "word").select("text", "lid").distinct()
     common = met.join(qw.select("text", "word", "w"), "text").join(lw.select("lid", "word"), ["lid", "word"]).groupBy("text", "lid").agg(F.sum("w").alias("common"))
     total = lambda df, key, out: df.groupBy(key).agg(F.sum("w").alias(out))
