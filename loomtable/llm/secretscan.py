@@ -38,10 +38,10 @@ MARK = "[SECRET]"
 
 #: Keys of public services that are told from what stands before them, even a key character.
 _SHAPE = "(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pos]_[A-Za-z0-9]{20}|github_pat_[A-Za-z0-9]{10}|glpat-[A-Za-z0-9_-]{16}|[sr]k_live_[A-Za-z0-9]{10}|xox[abprs]-[A-Za-z0-9]{8}|AIza[A-Za-z0-9_-]{30}"
-#: Cut after each delimiter, before each long run of key characters and after a percent escape: a piece has one run of ten or more at most.
+#: Cut around each run of ten or more key characters, after a percent escape and before a key told by its shape: a piece is such a run or what stands between two.
 _CUT = (
-    r"""(?:(?<=[\\s=:"'(\\[{<>,;|)\\]}&])|(?<=[^A-Za-z0-9_+/.-])(?=[A-Za-z0-9_+/.-]{10})|(?<=%[0-9A-Fa-f]{2})(?=[A-Za-z0-9_+/.-]{10})"""
-    rf"""|(?<=[_+/.-]|\\\\[nrt])(?={_SHAPE}))(?!\\z)"""
+    r"""(?:(?<![A-Za-z0-9_+/.-])(?=[A-Za-z0-9_+/.-]{10})|(?![A-Za-z0-9_+/.-])(?<=[A-Za-z0-9_+/.-]{10})|(?<=%[0-9A-Fa-f]{2})(?=[A-Za-z0-9_+/.-]{10})"""
+    rf"""|(?=[Aghrsx])(?<=[_+/.-]|\\\\[nrt])(?={_SHAPE}))(?!\\z)"""
 )
 _KEY = r"""[A-Za-z0-9][A-Za-z0-9_+/.-]{8,}[A-Za-z0-9]"""
 
@@ -61,6 +61,12 @@ _VALUE = (
     r"""|(://[^\\s/:@"'<>]*:)[^\\s/"'<>]+(?=@))"""
 )
 
+#: What any value needs somewhere in its text, in lower case: plain searches for these spare most texts the pattern.
+_SIGNS = ("passw", "passphrase", "passcode", "pwd", "_pass", "-pass", "secret", "token", "key", "auth", "bearer", "credential", "://")
+
+#: How many characters before and after a candidate the features see.
+BEFORE, AFTER = 60, 24
+
 #: Common words of four languages, for dictionary coverage.
 WORDS = (
     "the and that with for this from have not are was but they which one all there were when your can said use each she how their will other about out many then them these some her would make like "
@@ -269,7 +275,8 @@ def findings(docs: DataFrame, *, text: str = "text", model: str | None = None, t
     """
     model = model or train(docs.sparkSession)
     v = f"'{_sql(_VALUE)}'"
-    df = packed(docs, text).withColumn("asked", F.expr(f"regexp_extract_all(text, {v}, 0)"))
+    may = " OR ".join(f"contains(lower(text), '{w}')" for w in _SIGNS)
+    df = packed(docs, text).withColumn("asked", F.expr(f"CASE WHEN text IS NULL THEN NULL WHEN {may} THEN regexp_extract_all(text, {v}, 0) ELSE CAST(array() AS array<string>) END"))
     df = df.withColumn("between", F.expr(f"if(size(asked) > 0, split(text, {v}, -1), array(text))"))
     df = df.withColumn("heads", F.expr(f"if(size(asked) > 0, zip_with(regexp_extract_all(text, {v}, 1), regexp_extract_all(text, {v}, 2), (a, b) -> concat(a, b)), asked)"))
     cut = lambda t: f"split({t}, '{_sql(_CUT)}', -1)"
@@ -280,8 +287,9 @@ def findings(docs: DataFrame, *, text: str = "text", model: str | None = None, t
     df = df.withColumn("within", along("k", "0")).withColumn("spans", along("if(k = 0, size(q), 0)", "0")).withColumn("values", along("if(k = 0, array_join(q, ''), '')", "''"))
     both = f"array(named_struct('n', spans[i], 't', values[i]), named_struct('n', 0, 't', if(length(p) >= 10, regexp_extract(p, '{_KEY}', 0), '')))"
     once = f"filter({both}, s -> s.t <> '' AND NOT (s.n = 0 AND spans[i] = 1 AND s.t = p))"
-    c = "concat_ws('', " + ", ".join(f"get(pieces, i - {k})" for k in range(6, 0, -1)) + ")"
-    f = "concat_ws('', " + ", ".join(f"get(pieces, i + greatest(s.n, 1) + {k})" for k in range(3)) + ")"
+    df = df.withColumn("tails", F.expr(f"transform(pieces, p -> right(p, {BEFORE}))")).withColumn("starts", F.expr(f"transform(pieces, p -> left(p, {AFTER}))"))
+    c = "right(concat_ws('', " + ", ".join(f"get(tails, i - {k})" for k in range(6, 0, -1)) + f"), {BEFORE})"
+    f = "left(concat_ws('', " + ", ".join(f"get(starts, i + greatest(s.n, 1) + {k})" for k in range(3)) + f"), {AFTER})"
     scored = f"transform({once}, s -> named_struct('n', s.n, 'score', element_at(transform(array({_features_sql('s.t', c, f)}), x -> {model}), 1)))"
     none = "CAST(array() AS array<struct<n: int, score: double>>)"
     df = df.withColumn("scored", F.expr(f"transform(pieces, (p, i) -> if(spans[i] > 0 OR length(p) >= 10 AND p RLIKE '{_KEY}', {scored}, {none}))"))
