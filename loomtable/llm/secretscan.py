@@ -38,11 +38,13 @@ MARK = "[SECRET]"
 
 #: Keys of public services that are told from what stands before them, even a key character.
 _SHAPE = "(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pos]_[A-Za-z0-9]{20}|github_pat_[A-Za-z0-9]{10}|glpat-[A-Za-z0-9_-]{16}|[sr]k_live_[A-Za-z0-9]{10}|xox[abprs]-[A-Za-z0-9]{8}|AIza[A-Za-z0-9_-]{30}"
-#: Cut around each run of ten or more key characters, after a percent escape and before a key told by its shape: a piece is such a run or what stands between two.
-_CUT = (
-    r"""(?:(?<![A-Za-z0-9_+/.-])(?=[A-Za-z0-9_+/.-]{10})|(?![A-Za-z0-9_+/.-])(?<=[A-Za-z0-9_+/.-]{10})|(?<=%[0-9A-Fa-f]{2})(?=[A-Za-z0-9_+/.-]{10})"""
-    rf"""|(?=[Aghrsx])(?<=[_+/.-]|\\\\[nrt])(?={_SHAPE}))(?!\\z)"""
+#: Pieces of a text: runs of ten or more key characters, and what stands between two.  An escape before a key belongs to what stands before.
+_PIECE = (
+    rf"""[\\w+/.-]{{10,}}+|(?:[^\\w+/.%\\\\-]++|[\\w+/.-]{{1,9}}+(?![\\w+/.-])|%[0-9A-Fa-f]{{2}}(?=[\\w+/.-]{{10}})|\\\\[nrt](?={_SHAPE})|[%\\\\])++"""
 )
+#: Cut a run before each key that its shape tells.
+_CUT = rf"(?<=[_+/.-])(?={_SHAPE})"
+_RUN = r"^[\\w+/.-]{10}"
 _KEY = r"""[A-Za-z0-9][A-Za-z0-9_+/.-]{8,}[A-Za-z0-9]"""
 
 #: How keys of public services begin.
@@ -76,7 +78,16 @@ WORDS = (
 ).split()
 _DICT = "|".join(sorted({w for w in WORDS if len(w) >= 3}, key=lambda w: (-len(w), w)))
 
-#: Each feature as SQL over t (the candidate), c (what stands before it) and f (what follows).
+#: Words near digests, ids and examples.
+_BENIGN = ("md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "revision", "version", "order", "invoice", "phone", "isbn", "serial", "build", "image", "example", "placeholder", "dummy", "sample")
+
+
+def _holds(text: str, words) -> str:
+    """Whether the SQL expression ``text`` holds any of ``words``: plain searches, much cheaper than a pattern of alternatives."""
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+#: Each feature as SQL over t (the candidate), c (what stands before it), f (what follows), l (c in lower case), n (c and f in lower case) and a (whether l may ask for a secret).
 FEATURES = {
     "len": "CAST(length(t) AS DOUBLE)",
     "digits": "regexp_count(t, '[0-9]') / length(t)",
@@ -90,19 +101,19 @@ FEATURES = {
     "hex": "CAST(t RLIKE '^[0-9a-f]+$' OR t RLIKE '^[0-9A-F]+$' AS DOUBLE)",
     "entropy": "-aggregate(array_distinct(split(t, '')), 0D, (s, x) -> s + (length(t) - length(replace(t, x, ''))) / length(t) * ln((length(t) - length(replace(t, x, ''))) / length(t)))",
     "words": f"1 - length(regexp_replace(lower(t), '{_DICT}', '')) / length(t)",
-    "path": "CAST(t RLIKE '/.*/|^/|[.][a-z]{1,4}$' OR c RLIKE '(://|[.]{1,2}/|[A-Za-z0-9]/)[^ ]*$|https?:$' AS DOUBLE)",
+    "path": "CAST(t RLIKE '/.*/|^/|[.][a-z]{1,4}$' OR (contains(c, '/') OR contains(c, ':')) AND c RLIKE '(://|[.]{1,2}/|[A-Za-z0-9]/)[^ ]*$|https?:$' AS DOUBLE)",
     "dots": "regexp_count(t, '[.]') / length(t)",
     "uuid": "CAST(t RLIKE '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-' AS DOUBLE)",
     "prefix": f"CAST(t RLIKE '^{_PREFIX}' AS DOUBLE)",
-    "asks": f"CAST(lower(c) RLIKE '({_ASKS})[a-z_]*[^a-z0-9]{{0,6}}$' AS DOUBLE)",
-    "asks_near": f"CAST(lower(c) RLIKE '({_ASKS})' AS DOUBLE)",
-    "asks_pass": f"CAST(lower(c) RLIKE '({_PASS})[a-z_]*[^a-z0-9]{{0,6}}$' AS DOUBLE)",
+    "asks": f"CAST(a AND l RLIKE '({_ASKS})[a-z_]*[^a-z0-9]{{0,6}}$' AS DOUBLE)",
+    "asks_near": f"CAST(a AND l RLIKE '{_ASKS}' AS DOUBLE)",
+    "asks_pass": f"CAST(a AND l RLIKE '({_PASS})[a-z_]*[^a-z0-9]{{0,6}}$' AS DOUBLE)",
     "user_part": "CAST(c RLIKE '://[^\\\\s/:@]*:$' AND f LIKE '@%' AS DOUBLE)",
     "others": "regexp_count(t, '[^A-Za-z0-9_+/.-]') / length(t)",
     "blanks": "CAST(regexp_count(t, '\\\\s') AS DOUBLE)",
     "code": "CAST(t RLIKE '^[$%@]?[{(<\\\\[]|[(]|^[$][A-Za-z_]+$|^[A-Za-z_]+([.][A-Za-z_]+)+|^[*.x]+$' AS DOUBLE)",
     "stock": "CAST(lower(t) RLIKE '(passw|secret|token|key|redact|hidden|masked|todo)|^(none|null|nil|true|false|undefined|string|str|text|bytes|int|required|optional|invalid|missing|expired|empty|value|default|user|admin|root|pass)$' AS DOUBLE)",
-    "benign": "CAST(lower(concat(c, ' ', f)) RLIKE '(sha-?[0-9]|md5|commit|checksum|digest|hash|uuid|guid|revision|version|order|invoice|phone|isbn|serial|build|image|example|placeholder|dummy|sample)' AS DOUBLE)",
+    "benign": f"CAST({_holds('n', _BENIGN)} OR contains(n, 'sha') AND n RLIKE 'sha-?[0-9]' AS DOUBLE)",
     "filler": "CAST(lower(t) RLIKE '(example|your|change|xxxx|1234|abcd|dummy|sample|test|placeholder|0000)' AS DOUBLE)",
     "set": "CAST(c RLIKE '[=:]\\\\s*[\"\\']?$' AS DOUBLE)",
 }
@@ -244,9 +255,11 @@ def _tree_sql(node, names: list[str]) -> str:
 
 
 def _features_sql(t: str, c: str, f: str) -> str:
-    """named_struct of all features; t, c and f are bound once, each by a lambda over an array of one."""
-    fields = ", ".join(f"'{k}', {v}" for k, v in FEATURES.items())
-    return f"element_at(transform(array({t}), t -> element_at(transform(array({c}), c -> element_at(transform(array({f}), f -> named_struct({fields})), 1)), 1)), 1)"
+    """named_struct of all features; what they are made of is bound once, each by a lambda over an array of one."""
+    out = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in FEATURES.items()) + ")"
+    for name, value in (("a", _holds("l", _SIGNS)), ("n", "concat(l, ' ', lower(f))"), ("l", "lower(c)"), ("f", f), ("c", c), ("t", t)):
+        out = f"element_at(transform(array({value}), {name} -> {out}), 1)"
+    return out
 
 
 def train(spark: SparkSession, findings: DataFrame | None = None) -> str:
@@ -275,11 +288,10 @@ def findings(docs: DataFrame, *, text: str = "text", model: str | None = None, t
     """
     model = model or train(docs.sparkSession)
     v = f"'{_sql(_VALUE)}'"
-    may = " OR ".join(f"contains(lower(text), '{w}')" for w in _SIGNS)
-    df = packed(docs, text).withColumn("asked", F.expr(f"CASE WHEN text IS NULL THEN NULL WHEN {may} THEN regexp_extract_all(text, {v}, 0) ELSE CAST(array() AS array<string>) END"))
+    df = packed(docs, text).withColumn("asked", F.expr(f"CASE WHEN text IS NULL THEN NULL WHEN {_holds('lower(text)', _SIGNS)} THEN regexp_extract_all(text, {v}, 0) ELSE CAST(array() AS array<string>) END"))
     df = df.withColumn("between", F.expr(f"if(size(asked) > 0, split(text, {v}, -1), array(text))"))
     df = df.withColumn("heads", F.expr(f"if(size(asked) > 0, zip_with(regexp_extract_all(text, {v}, 1), regexp_extract_all(text, {v}, 2), (a, b) -> concat(a, b)), asked)"))
-    cut = lambda t: f"split({t}, '{_sql(_CUT)}', -1)"
+    cut = lambda t: f"flatten(transform(regexp_extract_all({t}, '{_PIECE}', 0), p -> if(p RLIKE '{_RUN}', split(p, '{_CUT}', -1), array(p))))"
     # By turns what leads to a value and the value, each in pieces.  Every array that a lambda below looks into is a column read more than once: Spark would inline others and build them anew for each piece.
     parted = f"flatten(transform(between, (g, i) -> if(i < size(asked), array({cut('concat(g, heads[i])')}, {cut('substring(asked[i], length(heads[i]) + 1)')}), array({cut('g')}))))"
     df = df.withColumn("parts", F.expr(f"if(text IS NULL, NULL, {parted})")).withColumn("pieces", F.expr("flatten(parts)"))
@@ -292,7 +304,7 @@ def findings(docs: DataFrame, *, text: str = "text", model: str | None = None, t
     f = "left(concat_ws('', " + ", ".join(f"get(starts, i + greatest(s.n, 1) + {k})" for k in range(3)) + f"), {AFTER})"
     scored = f"transform({once}, s -> named_struct('n', s.n, 'score', element_at(transform(array({_features_sql('s.t', c, f)}), x -> {model}), 1)))"
     none = "CAST(array() AS array<struct<n: int, score: double>>)"
-    df = df.withColumn("scored", F.expr(f"transform(pieces, (p, i) -> if(spans[i] > 0 OR length(p) >= 10 AND p RLIKE '{_KEY}', {scored}, {none}))"))
+    df = df.withColumn("scored", F.expr(f"transform(pieces, (p, i) -> if(spans[i] > 0 OR p RLIKE '{_RUN}', {scored}, {none}))"))
     df = df.withColumn("whole", F.expr(f"transform(scored, a -> exists(a, s -> s.n > 0 AND s.score >= {threshold}))"))
     return df.withColumn("run", F.expr(f"transform(scored, (a, i) -> exists(a, s -> s.n = 0 AND s.score >= {threshold}) AND NOT whole[i - within[i]])"))
 
