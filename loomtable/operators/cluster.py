@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtable.operators.cells import running
-from loomtable.operators.scratch import dropped, written
-from loomtable.operators.skew import salted_join
+from loomtable.operators.linkage import block_labels, block_pairs, complete_linkage, scored_labels  # noqa: F401
+from loomtable.operators.scratch import dropped, dropped_since, mark, written
+from loomtable.operators.skew import SALTS, salted_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -116,39 +119,18 @@ def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return inside.crossJoin(degree.agg(F.sum(F.col("d") * F.col("d")).alias("dd"))).select((F.col("inside") / F.col("m") - F.col("dd") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def complete_linkage(n: int, pairs: list[tuple[int, int, float]]) -> list[int]:
-    """Clusters of 0..n-1 by complete linkage on distance 1 - score, cut at 1: two clusters merge only while every pair of theirs has a score; best first, ties by index."""
-    if n == 0:
-        return []
-    score = np.zeros((n, n))
-    for a, b, s in pairs:
-        score[a, b] = score[b, a] = max(score[a, b], s)
-    label = list(range(n))
-    live = np.ones(n, bool)
-    np.fill_diagonal(score, 0)
-    while True:
-        open_ = np.where(live[:, None] & live[None, :], score, 0)
-        at = int(np.argmax(open_))
-        a, b = divmod(at, n)
-        if open_[a, b] <= 0:
-            return label
-        a, b = min(a, b), max(a, b)
-        score[a] = score[:, a] = np.minimum(score[a], score[b])
-        live[b] = False
-        label = [a if x == b else x for x in label]
-
-
 def column_clusters(scores: DataFrame) -> DataFrame:
-    """(part, gci, cluster) from column scores within partitions (part, c1, c2, score): complete linkage per partition; clusters numbered by falling size, then smallest column."""
+    """(part, gci, cluster) from column scores within partitions (part, c1, c2, score): complete linkage per partition; clusters numbered by falling size, then smallest column.
+
+    A partition's rows have to fit in one task.  ``block_clusters`` takes columns whose scores are too many for rows.
+    """
 
     def run(pdf):
         import pandas as pd
 
         ids = np.unique(np.concatenate([pdf["c1"], pdf["c2"]]))
         at = lambda c: np.searchsorted(ids, c)
-        real = pdf[pdf["c1"] != pdf["c2"]]
-        label = complete_linkage(len(ids), list(zip(at(real["c1"]), at(real["c2"]), real["score"], strict=True)))
-        out = pd.DataFrame({"gci": ids, "raw": label})
+        out = pd.DataFrame({"gci": ids, "raw": scored_labels(len(ids), at(pdf["c1"]), at(pdf["c2"]), pdf["score"].to_numpy(float))})
         size = out.groupby("raw")["gci"].agg(["size", "min"]).sort_values(["size", "min"], ascending=[False, True])
         rank = {raw: i for i, raw in enumerate(size.index)}
         return pd.DataFrame({"part": pdf["part"].iloc[0], "gci": ids, "cluster": [rank[r] for r in out["raw"]]})
@@ -156,6 +138,76 @@ def column_clusters(scores: DataFrame) -> DataFrame:
     return scores.groupBy("part").applyInPandas(run, "part bigint, gci bigint, cluster bigint")
 
 
+def block_clusters(columns: DataFrame, score: Callable[[dict, dict], np.ndarray], links: DataFrame | None = None) -> DataFrame:
+    """``column_clusters`` of columns (part, block, gci, and what ``score`` reads) of which all in one block are scored by a function, and others by ``links`` (part, c1, c2, score).
+
+    ``score(x, y)`` gets two dicts of NumPy arrays by column name, those of x
+    standing and those of y lying, and returns the matrix of scores; it has to
+    be symmetric.  Pairs within blocks are cells in a task, computed when they
+    are needed, and never rows; links within a block count for nothing.
+
+    First every block is clustered down to its partition's best link, since no
+    merge above it can depend on a link.  A link between two clusters stays if
+    all pairs of theirs have one.  Blocks joined by links that stay are then
+    finished together, in one task, and the others each alone.
+    """
+    spark, since = columns.sparkSession, mark()
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number, so that few bytes with much work aren't put together
+    links = (links if links is not None else spark.createDataFrame([], "part bigint, c1 bigint, c2 bigint, score double")).filter("c1 <> c2 AND score > 0 AND NOT isnan(score)")
+    cut = links.groupBy(F.col("part").alias("_loom_part")).agg(F.max("score").alias("_loom_cut")).withColumn("_loom_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = columns.withColumn("_loom_salt", F.pmod(F.xxhash64("gci"), F.lit(SALTS)).cast("int"))
+    cut = salted.join(cut, F.col("part").eqNullSafe(F.col("_loom_part")) & (F.col("_loom_salt") == F.col("_loom_of")), "left").drop("_loom_part", "_loom_salt", "_loom_of")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema)
+
+    def rows(pdf, ids):
+        have = {c: pdf[c].to_numpy()[ids] for c in pdf if not c.startswith("_loom_")}
+        return lambda x, y: score({c: v[x][:, None] for c, v in have.items()}, {c: v[y][None, :] for c, v in have.items()})
+
+    def first(pdf):
+        pdf = pdf.sort_values("gci", ignore_index=True)
+        best = pdf.pop("_loom_cut").iloc[0]
+        label = block_labels(len(pdf), rows(pdf, slice(None)), best if best == best and best else 0.0)
+        return pdf.assign(_loom_root=pdf["gci"].to_numpy()[label], _loom_size=np.bincount(label)[label])
+
+    began = written(cut.repartition(spread, "part", "block").groupBy("part", "block").applyInPandas(first, schema + ", _loom_root bigint, _loom_size bigint"), "blocks")
+
+    end = lambda i: began.select(F.col("part").alias(f"p{i}"), F.col("gci").alias(f"g{i}"), F.struct(F.col("_loom_root").alias("root"), "block", F.col("_loom_size").alias("size")).alias(f"e{i}"))
+    pair = links.groupBy("part", F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).agg(F.max("score").alias("score"))
+    pair = pair.join(end(1), F.col("part").eqNullSafe(F.col("p1")) & (F.col("c1") == F.col("g1"))).join(end(2), F.col("part").eqNullSafe(F.col("p2")) & (F.col("c2") == F.col("g2")))
+    pair = pair.filter(~F.col("e1.block").eqNullSafe(F.col("e2.block"))).groupBy("part", F.least("e1", "e2").alias("a"), F.greatest("e1", "e2").alias("b")).agg(F.count("*").alias("n"), F.min("score").alias("score"))
+    stay = written(pair.filter("n = a.size * b.size").select(F.struct("part", "a.block").alias("src"), F.struct("part", "b.block").alias("dst"), F.col("a.root").alias("a"), F.col("b.root").alias("b"), "score"), "links")
+    joined = components(stay).select("node", F.col("component").alias("_loom_of"))
+    with_ = began.withColumn("node", F.struct("part", "block")).join(joined, "node", "left").withColumn("_loom_of", F.coalesce("_loom_of", "node")).select(began["*"], F.col("_loom_of.part").alias("_loom_p"), F.col("_loom_of.block").alias("_loom_b"))
+    stay = stay.join(joined, F.col("src") == F.col("node")).select("a", "b", "score", F.col("_loom_of.part").alias("_loom_p"), F.col("_loom_of.block").alias("_loom_b"))
+
+    def second(pdf, links):
+        import pandas as pd
+
+        pdf = pdf.sort_values("gci", ignore_index=True)
+        ids = pdf["gci"].to_numpy()
+        label = np.searchsorted(ids, pdf["_loom_root"].to_numpy())
+        if not len(links):
+            label = block_labels(len(ids), rows(pdf, slice(None)), 0.0, label)
+        else:
+            a, b, s = [np.searchsorted(ids, links["a"])], [np.searchsorted(ids, links["b"])], [links["score"].to_numpy()]
+            for i in pdf.groupby("block", dropna=False).indices.values():
+                i = i[np.argsort(label[i], kind="stable")]
+                roots, start = np.unique(label[i], return_index=True)
+                of = rows(pdf, i)
+                x, y, v = block_pairs(len(i), start, lambda lo, hi, since, of=of: of(slice(lo, hi), slice(since, None)))
+                a.append(roots[x]), b.append(roots[y]), s.append(v)
+            label = scored_labels(len(ids), np.concatenate(a), np.concatenate(b), np.concatenate(s))[label]
+        return pd.DataFrame({"part": pdf["part"], "gci": ids, "root": ids[label]})
+
+    by = ["_loom_p", "_loom_b"]
+    ended = with_.repartition(spread, *by).groupBy(*by).cogroup(stay.groupBy(*by)).applyInPandas(second, "part bigint, gci bigint, root bigint")
+    ended = written(ended, "linked")
+    dropped_since(spark, since, ended)
+    rank = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("n"), "r")) - 1
+    number = ended.groupBy(F.col("part").alias("p"), F.col("root").alias("r")).agg(F.count("*").alias("n")).select("p", "r", rank.cast("bigint").alias("cluster"))
+    return ended.join(number, F.col("part").eqNullSafe(F.col("p")) & (F.col("root") == F.col("r"))).select("part", "gci", "cluster")
+
+
 def sliced(parts: DataFrame, most: int) -> DataFrame:
     """Partitions of more than ``most`` members cut into slices, in the order of nodes: (node, part, slice)."""
     w = Window.partitionBy("part").orderBy("node")

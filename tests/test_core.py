@@ -2,15 +2,17 @@
 
 import glob
 import json
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomtable import queries as Q
 from loomtable.functions import text as T
 from loomtable.operators import cells as C
-from loomtable.operators import clean, cluster, compound, evaluate, link, profile, similarity, stitching, unpivot
+from loomtable.operators import clean, cluster, compound, evaluate, link, linkage, profile, similarity, stitching, unpivot
 from loomtable.plans import config, tableset
 from loomtable.sources import files, gold, kb
 from loomtable.sources import html as H
@@ -185,6 +187,84 @@ def test_complete_linkage_needs_every_pair():
     assert cluster.complete_linkage(0, []) == []
 
 
+def _plain_linkage(score):
+    """Complete linkage by looking at the whole matrix for every merge."""
+    score = np.where(score > 0, score, 0)
+    np.fill_diagonal(score, 0)
+    label = np.arange(len(score))
+    while len(score) and score.max() > 0:
+        a, b = divmod(int(score.argmax()), len(score))
+        score[a] = score[:, a] = np.minimum(score[a], score[b])
+        score[b] = score[:, b] = 0
+        label[label == b] = a
+    return label.tolist()
+
+
+def test_complete_linkage_by_parts_is_the_plain_one(monkeypatch):
+    draw = np.random.default_rng(7)
+    for most, cells, pairs in ((1000, 300_000, 100_000), (3, 7, 5), (2, 50, 3), (5, 20, 10)):
+        for name, value in (("MATRIX", most), ("CELLS", cells), ("PAIRS", pairs)):
+            monkeypatch.setattr(linkage, name, value)
+        for _ in range(100):
+            n = int(draw.integers(1, 24))
+            score = draw.integers(-1, int(draw.integers(2, 40)), (n, n)) / 10  # many ties
+            score[draw.random((n, n)) > draw.random()] = 0
+            score = np.maximum(score, score.T)
+            plain = _plain_linkage(score.copy())
+            a, b = np.triu_indices(n, 1)
+            some = score[a, b] > 0
+            assert cluster.complete_linkage(n, [(x, y, score[x, y]) for x in range(n) for y in range(n)]) == plain
+            assert linkage.heap_labels(n, a[some], b[some], score[a, b][some]).tolist() == plain
+            of = lambda x, y: score[np.ix_(x, y)]  # noqa: B023, E731
+            assert linkage.block_labels(n, of).tolist() == plain
+            assert linkage.block_labels(n, of, 0.0, linkage.block_labels(n, of, 1.0)).tolist() == plain
+
+
+def test_linkage_of_a_large_partition_takes_little_memory():
+    """9,000 columns in a chain of 25 blocks, of which a matrix would be 648 MB."""
+    n, of = 9_000, 40
+    i = np.arange(n)
+    a = np.repeat(i, of)
+    b = a + np.tile(np.arange(1, of + 1), n)
+    same = (b < n) & (a // 360 == np.minimum(b, n - 1) // 360)
+    tracemalloc.start()
+    label = linkage.scored_labels(n, np.r_[a[same], i[360::360] - 1], np.r_[b[same], i[360::360]], np.r_[0.5 + 0.5 / (1 + b[same] - a[same]), np.full(24, 0.3)])
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+    assert (label // 360 == i // 360).all() and np.bincount(label).max() <= of + 1
+    tracemalloc.start()
+    assert not linkage.block_labels(4000, lambda x, y: 0.5 + 0.5 / (1 + abs(y[None] * 7919 % 10007 - x[:, None] * 7919 % 10007))).any()
+    assert tracemalloc.get_traced_memory()[1] < 40e6  # half a matrix would be 64 MB
+    tracemalloc.stop()
+
+
+def test_block_clusters_are_those_of_all_pairs(spark):
+    draw = np.random.default_rng(3)
+    columns, links, pairs, expected = [], [], [], {}
+    for part in (1, 2, 3, None):
+        n = 26
+        ids = draw.permutation(100)[:n] + 1000 * (part or 9)
+        ids.sort()
+        block = draw.integers(0, 6, n) if part != 3 else np.arange(n) // 2
+        at = draw.integers(0, 9, n) / 4.0
+        score = np.where(block[:, None] == block[None], 1 / (1 + abs(at[:, None] - at[None])) - 0.4, 0)
+        for x in range(n):
+            columns.append((part, None if block[x] == 5 else int(block[x]), int(ids[x]), float(at[x])))
+            for y in range(x):
+                if block[x] != block[y] and draw.random() < (0.8 if part == 3 else 0.5):
+                    score[x, y] = score[y, x] = s = float(draw.integers(-1, 9 if part == 1 else 4)) / 10
+                    links.append((part, int(ids[x]), int(ids[y]), s))
+        label = np.array(_plain_linkage(score))
+        roots = sorted(set(label.tolist()), key=lambda r: (-(label == r).sum(), r))
+        expected |= {(part, int(ids[x])): roots.index(label[x]) for x in range(n)}
+        assert len(roots) < n and any(len(set(block[label == r])) > 1 for r in roots)
+    c = spark.createDataFrame(columns, "part bigint, block int, gci bigint, at double")
+    e = spark.createDataFrame([*links, (1, columns[0][2], columns[0][2], 5.0)], "part bigint, c1 bigint, c2 bigint, score double")
+    score = lambda x, y: 1 / (1 + abs(x["at"] - y["at"])) - 0.4
+    assert {(r.part, r.gci): r.cluster for r in cluster.block_clusters(c, score, e).collect()} == expected
+    assert cluster.block_clusters(c.filter("part = 1"), score).select("cluster").distinct().count() >= 6
+
+
 def test_cluster_and_stitch(spark):
     t = spark.createDataFrame([("a", [["Name", "Age"]], [["ann lee", "1"], ["bob ray", "2"]]), ("b", [["Age", "Name"]], [["1", "ann lee"], ["9", "bob ray"]]), ("c", [["z"]], [["other"]])], "table_id string, head array<array<string>>, body array<array<string>>").withColumn("num_cols", F.array_max(F.transform("body", F.size))).withColumn("num_rows", F.size("body"))
     ts = tableset.TableSet(t).cluster()
